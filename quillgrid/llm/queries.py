@@ -5,24 +5,36 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import neardup, packing
+from quillgrid.llm import merkle, neardup, packing, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, with the terms that disclose it."""
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose shingle sets overlap by at least 85 in 100."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), threshold=85)
 
 
+def op8_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of all documents and of their edited texts."""
+    return merkle.fingerprints_with_edits(_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as pieces of at most 1024 tokens, packed into few sequences."""
     return packing.best_fit(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 QUERIES = {
+    "op5_pii_sanitisation": op5_pii_sanitisation,
+    "op8_merkle_fingerprints": op8_merkle_fingerprints,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
