@@ -4,14 +4,24 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillgrid.llm import merkle, neardup, packing, pii
+from quillgrid.llm import langid, merkle, neardup, packing, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents; profiles come from the labelled ones that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    profiles = langid.fit(docs.where(~held_out).select("doc_id", "text", "lang"))
+    asked = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    return langid.identify(asked, profiles).drop("text")
+
+
 def op5_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents, with the terms that disclose it."""
     return pii.personal_data(_table(spark, sf_dir, "documents"))
@@ -33,6 +43,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op5_pii_sanitisation": op5_pii_sanitisation,
     "op8_merkle_fingerprints": op8_merkle_fingerprints,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
