@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import langid, merkle, neardup, packing, pii
+from quillgrid.llm import langid, merkle, neardup, packing, pii, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(asked, profiles).drop("text")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of unigram tokens of all documents."""
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents, with the terms that disclose it."""
     return pii.personal_data(_table(spark, sf_dir, "documents"))
@@ -44,6 +49,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_token_counts": op2_token_counts,
     "op5_pii_sanitisation": op5_pii_sanitisation,
     "op8_merkle_fingerprints": op8_merkle_fingerprints,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
