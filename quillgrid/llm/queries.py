@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import langid, merkle, neardup, packing, pii, tokencount
+from quillgrid.llm import langid, mainext, merkle, neardup, packing, pii, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), threshold=85)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return mainext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle fingerprints of all documents and of their edited texts."""
     return merkle.fingerprints_with_edits(_table(spark, sf_dir, "documents"))
@@ -51,6 +56,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
     "op5_pii_sanitisation": op5_pii_sanitisation,
+    "op7_html_extraction": op7_html_extraction,
     "op8_merkle_fingerprints": op8_merkle_fingerprints,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
