@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import langid, mainext, merkle, neardup, packing, pii, tokencount
+from quillgrid.llm import decontam, langid, mainext, merkle, neardup, packing, pii, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 0.8 of the shingles of a benchmark item, with the items."""
+    return decontam.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents, with the terms that disclose it."""
     return pii.personal_data(_table(spark, sf_dir, "documents"))
@@ -55,10 +60,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_pii_sanitisation": op5_pii_sanitisation,
     "op7_html_extraction": op7_html_extraction,
     "op8_merkle_fingerprints": op8_merkle_fingerprints,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_benchmark_decontamination": decontam.ORACLE,
+}
