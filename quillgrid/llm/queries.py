@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import decontam, langid, mainext, merkle, neardup, packing, pii, tokencount
+from quillgrid.llm import decontam, langid, licences, mainext, merkle, neardup, packing, pii, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.fit(spark, docs)).drop("body")
+
+
 def op5_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents, with the terms that disclose it."""
     return pii.personal_data(_table(spark, sf_dir, "documents"))
@@ -61,6 +67,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_license_scans": op4_license_scans,
     "op5_pii_sanitisation": op5_pii_sanitisation,
     "op7_html_extraction": op7_html_extraction,
     "op8_merkle_fingerprints": op8_merkle_fingerprints,
