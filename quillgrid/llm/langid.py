@@ -162,21 +162,19 @@ class Profiles:
         return self.langs[best], float(1 - distance[best] / (PROFILE * len(own)))
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """docs with lang_pred and score behind its other columns (those of the same names are replaced). Null text, empty
-    text and text without letters are UNKNOWN with score 0."""
-    if not profiles:
-        return docs.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its score behind its other columns, under `names` (columns of those names
+    are replaced). Null text, empty text and text without letters are UNKNOWN with score 0; all rows stay."""
+    kept = docs.drop(*names)
+    out = StructType([*kept.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    place = kept.columns.index(text)
     plain = {k: v.tobytes() for k, v in profiles.items()}
-    kept = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = Profiles({k: np.frombuffer(v, dtype=np.uint64) for k, v in plain.items()})
         for batch in batches:
-            place = batch.schema.get_field_index(text)
             found = [ready.predict(None if t.as_py() is None else str(t.as_py())) for t in batch.column(place)]
             columns = [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
-    out = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return kept.mapInArrow(run, out)

@@ -183,3 +183,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, text: str = "text") ->
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = seen.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").withColumn("component_id", found)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, threshold: int = 80) -> DataFrame:
+    """docs with one document of each component, the one of the smallest doc_id. Rows without doc_id stay; of rows that
+    repeat a doc_id one stays."""
+    judged = stage(near_duplicates(docs, threshold).where("doc_id IS NOT NULL").select("doc_id", "kept"), "judged")
+    gone = judged.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    counts = judged.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
+    if counts["n"] == counts["ids"]:
+        return left
+    named = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return named.unionByName(left.where("doc_id IS NULL"))

@@ -201,20 +201,20 @@ def redact(text: str, extra: list[dict] | None) -> str:
     return "".join([*out, text[at:]])
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        place = batch.schema.get_field_index("text")
-        last = batch.num_columns - 1
-        texts = [None if t is None else redact(t, x) for t, x in zip(batch.column(place).to_pylist(), batch.column(last).to_pylist(), strict=True)]
-        columns = [batch.column(i) for i in range(last)]
-        columns[place] = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:last])
-
-
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with personal data taken out of `text`; all rows and columns stay. Null text stays null."""
     found = scan(docs)
     extra = _term_spans(docs, found, "text")
     key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     joined = docs.join(extra, docs["doc_id"].cast("long").eqNullSafe(extra["id"]) & (key == extra["key"]), "left")
-    return joined.select(*[docs[c] for c in docs.columns], extra["extra"]).mapInArrow(_redact, docs.schema)
+    place, names = docs.columns.index("text"), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            marks = columns.pop().to_pylist()
+            texts = [None if t is None else redact(t, x) for t, x in zip(columns[place].to_pylist(), marks, strict=True)]
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.select(*[docs[c] for c in names], extra["extra"].alias("pii extra")).mapInArrow(run, docs.schema)
