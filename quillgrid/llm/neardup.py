@@ -154,6 +154,24 @@ def candidate_families(reps: DataFrame) -> DataFrame:
     return connected_components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
 
 
+def confirmed_components(members: DataFrame, families: DataFrame, threshold: int) -> DataFrame:
+    """members (doc_id, family, items), families (doc_id, family) -> (doc_id, component) over the confirmed links.
+
+    Every two members of a family are compared on their full sets. A family is dealt into blocks of about BLOCK
+    members, and each pair of blocks is a group of its own, so a large family spreads over all tasks.
+    """
+    large = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    placed = (
+        members.join(stage(large, "large-families"), "family", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        .withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("doc_id", "family", "items", "block", F.least("block", "mate").alias("low"), F.greatest("block", "mate").alias("high"))
+    )
+    links = placed.groupBy("family", "low", "high").applyInArrow(_compare(threshold), "u long, v long")
+    return connected_components(links).select(F.col("node").alias("doc_id"), "component")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 80, text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept.
 
@@ -169,16 +187,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, text: str = "text") ->
     reps = stage(usable.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "sets")
     families = candidate_families(reps)
     members = stage(docs.join(families, "doc_id").select("doc_id", "family", "text").mapInArrow(_sets, "doc_id long, family long, items array<long>"), "members")
-    large = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    placed = (
-        members.join(stage(large, "large-families"), "family", "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("doc_id", "family", "items", "block", F.least("block", "mate").alias("low"), F.greatest("block", "mate").alias("high"))
-    )
-    links = placed.groupBy("family", "low", "high").applyInArrow(_compare(threshold), "u long, v long")
-    components = connected_components(links).select(F.col("node").alias("doc_id"), "component")
+    components = confirmed_components(members, families, threshold)
     named = stage(reps.select("set_key", "doc_id").join(components, "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component")), "named-sets")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = seen.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").withColumn("component_id", found)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import decontam, langid, licences, mainext, merkle, neardup, packing, pii, tokencount
+from quillgrid.llm import decontam, langid, licences, mainext, merkle, neardup, packing, passages, pii, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op8_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat across documents."""
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as pieces of at most 1024 tokens, packed into few sequences."""
     return packing.best_fit(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -72,6 +77,7 @@ QUERIES = {
     "op7_html_extraction": op7_html_extraction,
     "op8_merkle_fingerprints": op8_merkle_fingerprints,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {
