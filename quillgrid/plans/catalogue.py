@@ -1,19 +1,11 @@
-"""The registered queries over the test tables and their SQL counterparts."""
+"""All registered queries over the test tables, and their SQL counterparts."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from quillgrid.plans import ranges, relational, scalars
 
-
-def dsum_block(spark, sf_dir):
-    """DSUM of the price over rows that meet one of two criteria lines."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    hit = ((F.col("l_quantity") >= 40) & (F.col("l_returnflag") == "R")) | (F.col("l_discount") < 0.02)
-    return li.where(hit).agg(F.round(F.coalesce(F.sum("l_extendedprice"), F.lit(0.0)), 2).alias("dsum"))
-
-
-QUERIES = {"dsum_block": dsum_block}
-ORACLES = {
-    "dsum_block": """SELECT round(coalesce(sum(l_extendedprice), 0.0), 2) AS dsum FROM lineitem
-        WHERE (l_quantity >= 40 AND l_returnflag = 'R') OR l_discount < 0.02"""
-}
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+for _module in (ranges, relational, scalars):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
