@@ -165,13 +165,13 @@ def to_bool(c) -> Cell:
 def number(c, f, bad=None) -> Cell:
     """f over c as a number; bad(x) gives (condition, code) pairs."""
     x = to_number(c)
-    return made("num", f(x.value), x, bad=bad(x.value) if bad else ())
+    return made("num", f(x.value).cast("double"), x, bad=bad(x.value) if bad else ())
 
 
 def arithmetic(a, b, f, bad=None) -> Cell:
     """f over two cells as numbers; bad(x, y) gives (condition, code) pairs, checked before f runs."""
     x, y = to_number(a), to_number(b)
-    return made("num", f(x.value, y.value), x, y, bad=bad(x.value, y.value) if bad else ())
+    return made("num", f(x.value, y.value).cast("double"), x, y, bad=bad(x.value, y.value) if bad else ())
 
 
 _RANK = {"blank": 0, "num": 1, "text": 2, "bool": 3}
