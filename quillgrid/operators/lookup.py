@@ -61,7 +61,7 @@ def _merged(df: DataFrame, asked: DataFrame, points: DataFrame, name: str) -> Da
     point before it, so ranges are independent and no window spans the table."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(points.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()[0]))
-    bounds = F.array(*[F.lit(float(c)) for c in cuts])
+    bounds = F.split(F.lit(",".join(map(repr, map(float, cuts)))), ",").cast("array<double>")
     steps = [1 << i for i in reversed(range(max(1, len(cuts)).bit_length()))]
 
     def part(k):
