@@ -7,34 +7,34 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm.tables import stage
 
-ROUNDS = 60
-
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """edges (u long, v long) -> (node, component): every node that has an edge, with the smallest node reachable.
+    """edges (u long, v long) -> (node, component): every node that has an edge to another, with the smallest node reachable.
 
     Contraction: each round, every node takes the smallest of itself and its neighbours as its label, and the edges
-    move to the labels; at least half of the nodes of a component stop being labels each round, so the edge list
-    shrinks geometrically. The labels are then composed. Only counts reach the driver. Self-loops and repeated edges
-    do no harm; null ends are dropped.
+    move to the labels. The greatest node of a component is never a label, so the rounds end; stars and chains in random
+    order, which is what near duplicates form, take two to a few. The labels are then composed. Nothing but the end of the rounds reaches the driver. Repeated
+    edges do no harm; self-loops and edges with a null end are dropped.
     """
-    edges = edges.where("u IS NOT NULL AND v IS NOT NULL").select(F.col("u").cast("long"), F.col("v").cast("long"))
-    edges = stage(edges.distinct(), "edges")
-    nodes = stage(edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct(), "nodes")
+    plain = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    live = stage(plain.select(F.col("u").cast("long"), F.col("v").cast("long")), "edges")
     levels: list[DataFrame] = []
-    live = edges.where("u <> v")
-    for _ in range(ROUNDS):
+    while True:
         both = live.select("u", "v").union(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         labels = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
-        if labels.isEmpty():
+        if levels and labels.isEmpty():
             break
         levels.append(labels)
         left = labels.select(F.col("u"), F.col("label").alias("a"))
         right = labels.select(F.col("u").alias("v"), F.col("label").alias("b"))
         moved = live.join(left, "u").join(right, "v").where("a <> b")
         live = stage(moved.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "contracted")
-    out = nodes.withColumn("component", F.col("node"))
-    for labels in levels:
-        to = labels.select(F.col("u").alias("component"), "label")
-        out = out.join(to, "component", "left").select("node", F.coalesce("label", "component").alias("component"))
-    return stage(out, "components")
+    # From the last level down, which are small: where each label of the level above ends up.
+    ends = levels.pop()
+    while levels:
+        last, ends = ends, levels.pop()
+        last = last.select(F.col("u").alias("label"), F.col("label").alias("end"))
+        ends = ends.join(last, "label", "left").select("u", F.coalesce("end", "label").alias("label"))
+        if levels:
+            ends = stage(ends, "ends")
+    return stage(ends.select(F.col("u").alias("node"), F.col("label").alias("component")), "components")

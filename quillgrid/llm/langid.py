@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quillgrid.llm.tables import stage
+from quillgrid.llm.tables import bounded_batches, stage
 
 #: n-grams of 1 to N_MAX letters; entries of a language's profile and of a document's; training texts a language.
 N_MAX = 3
@@ -112,7 +112,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> dict[str, np.ndarr
     bound); rows with null lang or text are left out. A profile has PROFILE entries, so the result is as small as the
     number of languages.
     """
-    spark = labelled.sparkSession
+    spark = bounded_batches(labelled).sparkSession
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "doc_id", F.col("text").cast("string").alias("text"))
     order = F.xxhash64(F.col("doc_id").cast("string"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -165,7 +165,7 @@ class Profiles:
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with the predicted language and its score behind its other columns, under `names` (columns of those names
     are replaced). Null text, empty text and text without letters are UNKNOWN with score 0; all rows stay."""
-    kept = docs.drop(*names)
+    kept = bounded_batches(docs).drop(*names)
     out = StructType([*kept.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     place = kept.columns.index(text)
     plain = {k: v.tobytes() for k, v in profiles.items()}

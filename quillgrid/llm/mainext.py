@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.llm.tables import bounded_batches
+
 #: Gaussian kernel in lines, and the part of the cluster's text that the content region must hold.
 SIGMA, RADIUS = 1.0, 2
 HOLDS = 0.9
@@ -147,5 +149,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null or empty html gives an empty text; all rows stay, repeated ones too.
     """
-    plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    plain = bounded_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return plain.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.tables import parallelism
+from quillgrid.llm.tables import bounded_batches, parallelism
 
 #: A section ends at an empty line or after a paragraph whose hash is 0 modulo this: boundaries move with the text.
 SECTION = 8
@@ -139,7 +139,7 @@ def fingerprints_with_edits(docs: DataFrame, text: str = "text") -> DataFrame:
     Null text is empty. Rows without doc_id come first; rows that repeat a doc_id follow each other in the order of
     their texts. A single document is its own successor; an empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     parts = max(1, 4 * parallelism(docs))
     shares = [i / parts for i in range(1, parts)] or [0.5]
     found = rows.agg(
@@ -149,7 +149,8 @@ def fingerprints_with_edits(docs: DataFrame, text: str = "text") -> DataFrame:
     ).first()
     cuts = sorted({c for c in found["cuts"] or [] if c > found["least"] or found["nulls"]})
     steps = [1 << k for k in reversed(range(max(1, len(cuts)).bit_length()))]
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
+    # One literal that folds to a constant, however many partitions there are.
+    bounds = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>") if cuts else F.array().cast("array<long>")
     # Binary search: the number of bounds that are not above doc_id.
     at = F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
@@ -159,7 +160,8 @@ def fingerprints_with_edits(docs: DataFrame, text: str = "text") -> DataFrame:
     first = F.col("doc_id").isNull() if found["nulls"] else F.col("doc_id") == F.lit(found["least"])
     last = F.lit(len(cuts))
     here = F.struct(F.col("part").alias("part"), F.lit(False).alias("copy"))
-    back = F.when(F.col("doc_id").isin(cuts) if cuts else F.lit(False), F.struct((F.col("part") - 1).alias("part"), F.lit(True).alias("copy")))
+    opens = F.coalesce(F.try_element_at(bounds, F.greatest(F.col("part"), F.lit(1))) == F.col("doc_id"), F.lit(False))
+    back = F.when(opens, F.struct((F.col("part") - 1).alias("part"), F.lit(True).alias("copy")))
     wrap = F.when(first, F.struct(last.alias("part"), F.lit(True).alias("copy")))
     dealt = (
         rows.withColumn("part", at)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm import wordhash
 from quillgrid.llm.components import connected_components
-from quillgrid.llm.tables import stage
+from quillgrid.llm.tables import bounded_batches, stage
 
 #: Short keys in each of the two collections, and minhashes in a short key. At a similarity of 0.85 a pair shares no
 #: table with a probability of about 3e-4; at 0.9, of about 1e-6.
@@ -154,13 +154,13 @@ def candidate_families(reps: DataFrame) -> DataFrame:
     return connected_components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
 
 
-def confirmed_components(members: DataFrame, families: DataFrame, threshold: int) -> DataFrame:
+def confirmed_components(members: DataFrame, families: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
     """members (doc_id, family, items), families (doc_id, family) -> (doc_id, component) over the confirmed links.
 
-    Every two members of a family are compared on their full sets. A family is dealt into blocks of about BLOCK
+    Every two members of a family are compared on their full sets. A family is dealt into blocks of about `block`
     members, and each pair of blocks is a group of its own, so a large family spreads over all tasks.
     """
-    large = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    large = families.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
     placed = (
         members.join(stage(large, "large-families"), "family", "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, text: str = "text") ->
     without words are linked with nothing. A row without doc_id is counted but linked with nothing, and its
     component_id is null. Rows that repeat a doc_id are one document.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     seen = stage(sketches(docs), "sketches")
     usable = seen.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     reps = stage(usable.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "sets")

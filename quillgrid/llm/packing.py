@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.llm.tables import parallelism, stage
+from quillgrid.llm.tables import bounded_batches, parallelism, stage
 
 CAPACITY = 1024
 END_ID = 2
 #: Distinct chunks of text whose ids a worker keeps.
-CACHE = 150_000
+CACHE = 80_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -94,7 +94,7 @@ def cut(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, end_id: int
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, PIECES)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:

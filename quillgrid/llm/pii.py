@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.tables import stage
+from quillgrid.llm.tables import bounded_batches, stage
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of a protected value that are looked at as terms.
@@ -129,7 +129,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _plain(docs: DataFrame, text: str) -> DataFrame:
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("text_key"), body.alias("text"))
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("text_key"), body.alias("text"))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:

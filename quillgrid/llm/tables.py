@@ -8,6 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows and bytes of the Arrow batches that workers get: bounds a worker's memory whatever the texts' lengths.
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df itself; the session then hands out Arrow batches of the above bounds (smaller ones set by the user stay)."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        set_to = conf.get(key, None)
+        if set_to is None or not str(set_to).isdigit() or int(set_to) > most or int(set_to) <= 0:
+            conf.set(key, str(most))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; one is set only where none is (as in local tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)

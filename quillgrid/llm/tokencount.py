@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from quillgrid.llm.tables import bounded_batches
+
 SPACE = "▁"
 #: Parts of texts whose counts a worker keeps.
-CACHE = 400_000
+CACHE = 250_000
 _UNKNOWN_COST = 10.0
 
 
@@ -107,7 +109,7 @@ _LOADED: dict[str, Counter] = {}
 def count_tokens(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """docs with n_tokens (long) behind its other columns (one of that name is replaced). Null and empty texts have 0
     tokens; all rows stay."""
-    kept = docs.drop("n_tokens")
+    kept = bounded_batches(docs).drop("n_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model_path not in _LOADED:

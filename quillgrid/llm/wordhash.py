@@ -68,7 +68,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges [i, j) of at most `limit` bytes each (a longer text stands alone): bounds the scratch memory."""
     i, n = 0, len(offsets) - 1
     while i < n:
