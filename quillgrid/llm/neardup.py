@@ -22,8 +22,10 @@ from quillgrid.llm.tables import bounded_batches, stage
 #: Short keys in each of the two collections, and minhashes in a short key. At a similarity of 0.85 a pair shares no
 #: table with a probability of about 3e-4; at 0.9, of about 1e-6.
 TABLES_PER_SIDE, ROWS = 12, 4
-#: Members of a block: two blocks are compared in one group.
+#: Members of a block: a family of no more is one group, and two blocks of a larger one are.
 BLOCK = 64
+#: Heads that a member of a large family is first compared with.
+HEADS = 2
 _SEEDS = wordhash.mix(np.arange(1, 2 * TABLES_PER_SIDE * ROWS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _SKETCH = "doc_id long, n_shingles long, set_key binary, keys array<long>"
 
@@ -128,18 +130,21 @@ def _forest(ids: list[int], pairs: list[tuple[int, int]]) -> tuple[list[int], li
 
 
 def _compare(threshold: int):
+    """Links of a group. side: 0 or 1 where only sets of different sides are compared, -1 where all are."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_pylist()
         sets = [x.values.to_numpy() for x in table.column("items")]
-        side = table.column("block").to_numpy() if key[1].as_py() != key[2].as_py() else None
-        u, v = _forest(ids, linked_pairs(sets, threshold, side)) if len(ids) > 1 else ([], [])
+        side = table.column("side").to_numpy()
+        u, v = _forest(ids, linked_pairs(sets, threshold, None if side[0] < 0 else side)) if len(ids) > 1 else ([], [])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def candidate_families(reps: DataFrame) -> DataFrame:
-    """reps (doc_id, keys) -> (doc_id, family): documents that share a table, directly or over others."""
+def candidate_families(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """reps (doc_id, keys) -> (doc_id, family): documents that share a table, directly or over others; and
+    (doc_id, head): the HEADS table heads (a table's smallest doc_id) that a document shares most tables with."""
     n = TABLES_PER_SIDE
     short = reps.select("doc_id", F.posexplode("keys").alias("place", "key"))
     often = short.groupBy("place", "key").agg(F.count("*").alias("n")).where("n > 1").select("place", "key")
@@ -150,34 +155,83 @@ def candidate_families(reps: DataFrame) -> DataFrame:
     pairs = per.select("doc_id", F.explode("a").alias("x"), "b").select("doc_id", "x", F.explode("b").alias("y"))
     tables = stage(pairs.select("doc_id", F.xxhash64("x", "y").alias("key")), "tables")
     first = tables.groupBy("key").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
-    stars = tables.join(stage(first, "table-heads"), "key").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
-    return connected_components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    met = tables.join(stage(first, "table-heads"), "key").where("doc_id <> v")
+    stars = stage(met.groupBy(F.col("doc_id").alias("u"), "v").agg(F.count("*").alias("n")), "stars")
+    best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("n", "v")))), 1, HEADS)  # at most one for each table
+    heads = stars.groupBy(F.col("u").alias("doc_id")).agg(best.alias("best")).select("doc_id", F.explode("best.v").alias("head"))
+    families = connected_components(stars.select("u", "v"))
+    return families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), heads
+
+
+_GROUP = ("family", "one", "two", "low", "high")
+
 
+def _by_heads(large: DataFrame, heads: DataFrame, block: int) -> DataFrame:
+    """(doc_id, *_GROUP, side): every member beside its heads, each head's members in blocks."""
+    asked = heads.join(large, "family").select("doc_id", "family", "head")
+    dealt = stage(asked.groupBy("family", "head").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "heads")
+    points = asked.join(dealt, ["family", "head"]).select("doc_id", "family", "head", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("low"), F.lit(1).alias("side"))
+    centres = dealt.select(F.col("head").alias("doc_id"), "family", "head", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("low"), F.lit(0).alias("side"))
+    named = F.col("head").cast("string")
+    return points.unionByName(centres).select("doc_id", "family", named.alias("one"), named.alias("two"), "low", F.lit(-1).alias("high"), "side")
 
-def confirmed_components(members: DataFrame, families: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
-    """members (doc_id, family, items), families (doc_id, family) -> (doc_id, component) over the confirmed links.
 
-    Every two members of a family are compared on their full sets. A family is dealt into blocks of about `block`
-    members, and each pair of blocks is a group of its own, so a large family spreads over all tasks.
+def _between(named: DataFrame, block: int) -> DataFrame:
+    """named (doc_id, family, component) -> (doc_id, *_GROUP, side): all pairs of a family that are not in one component.
+
+    A component of more than `block` members is a unit dealt into blocks of its own, the others form a unit of mixed
+    blocks. Blocks of two units meet, and mixed blocks each other; blocks of one component never do, so a large group
+    of linked copies costs its size times the few blocks that are not linked with it.
     """
-    large = families.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
-    placed = (
-        members.join(stage(large, "large-families"), "family", "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("doc_id", "family", "items", "block", F.least("block", "mate").alias("low"), F.greatest("block", "mate").alias("high"))
-    )
-    links = placed.groupBy("family", "low", "high").applyInArrow(_compare(threshold), "u long, v long")
-    return connected_components(links).select(F.col("node").alias("doc_id"), "component")
+    pure = named.groupBy("family", "component").agg(F.count("*").alias("n")).where(F.col("n") > block).select("family", "component", F.lit(True).alias("pure"))
+    unit = F.when(F.col("pure"), F.col("component").cast("string")).otherwise(F.lit("mixed"))
+    placed = stage(named.join(stage(pure, "linked-units"), ["family", "component"], "left").select("doc_id", "family", unit.alias("unit")), "unit-members")
+    units = stage(placed.groupBy("family", "unit").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "units")
+    one = units.select("family", F.col("unit").alias("one"), F.col("blocks").alias("of_one"))
+    two = units.select("family", F.col("unit").alias("two"), F.col("blocks").alias("of_two"))
+    met = one.join(two, "family").where("one < two OR (one = two AND one = 'mixed')")
+    roles = met.select("family", "one", "two", F.explode(F.when(F.col("one") == F.col("two"), F.array(F.struct(F.col("one").alias("unit"), F.col("of_one").alias("own"), F.col("of_two").alias("copies"), F.lit(-1).alias("side")))).otherwise(
+        F.array(F.struct(F.col("one").alias("unit"), F.col("of_one").alias("own"), F.col("of_two").alias("copies"), F.lit(0).alias("side")), F.struct(F.col("two").alias("unit"), F.col("of_two").alias("own"), F.col("of_one").alias("copies"), F.lit(1).alias("side"))),
+    )).alias("role")).select("family", "one", "two", "role.*")
+    copied = placed.join(roles, ["family", "unit"]).withColumn("at", F.pmod(F.xxhash64("doc_id"), F.col("own")).cast("int"))
+    copied = copied.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    low = F.when(F.col("side") == 0, F.col("at")).when(F.col("side") == 1, F.col("mate")).otherwise(F.least("at", "mate"))
+    high = F.when(F.col("side") == 0, F.col("mate")).when(F.col("side") == 1, F.col("at")).otherwise(F.greatest("at", "mate"))
+    side = F.when(F.col("side") >= 0, F.col("side")).when(F.col("at") == F.col("mate"), F.lit(-1)).otherwise((F.col("at") > F.col("mate")).cast("int"))
+    return copied.select("doc_id", "family", "one", "two", low.alias("low"), high.alias("high"), side.alias("side"))
+
+
+def confirmed_components(members: DataFrame, families: DataFrame, heads: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
+    """members (doc_id, family, items), families (doc_id, family), heads (doc_id, family, head) -> (doc_id, component)
+    over the confirmed links.
+
+    All members of a family of at most `block` are compared with each other in one group. Those of a larger one are
+    first compared with their heads; then only pairs that are not yet in one component are. The components are those of
+    comparing all pairs.
+    """
+    sizes = families.groupBy("family").agg(F.count("*").alias("n"))
+    large = stage(sizes.where(F.col("n") > block).select("family"), "large-families")
+    whole = members.join(large, "family", "left_anti").select("doc_id", "family", F.lit("").alias("one"), F.lit("").alias("two"), F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(-1).alias("side"), "items")
+    if large.isEmpty():
+        links = whole.groupBy(*_GROUP).applyInArrow(_compare(threshold), "u long, v long")
+        return connected_components(links).select(F.col("node").alias("doc_id"), "component")
+    by_heads = _by_heads(large, heads, block).join(members, ["doc_id", "family"]).select("doc_id", *_GROUP, "side", "items")
+    links = whole.select("doc_id", *_GROUP, "side", "items").unionByName(by_heads).groupBy(*_GROUP).applyInArrow(_compare(threshold), "u long, v long")
+    found = connected_components(links)
+    named = families.join(large, "family").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "family", F.coalesce("component", "doc_id").alias("component"))
+    rest = _between(named, block).join(members, ["doc_id", "family"]).select("doc_id", *_GROUP, "side", "items")
+    more = rest.groupBy(*_GROUP).applyInArrow(_compare(threshold), "u long, v long")
+    known = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return connected_components(known.unionByName(more)).select(F.col("node").alias("doc_id"), "component")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80, text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * |A & B| >= threshold * |A | B| for their sets of five-word shingles. Equal sets are
-    one node. Candidates share a table; every two members of a candidate family are then compared on their full sets,
-    in blocks of bounded size dealt over all tasks, so links lost by one table are found by the family. Documents
+    one node. Candidates share a table; the members of a candidate family are then compared on their full sets, in
+    groups of bounded size dealt over all tasks, but for pairs already linked over others, so links lost by one table
+    are found by the family. Documents
     without words are linked with nothing. A row without doc_id is counted but linked with nothing, and its
     component_id is null. Rows that repeat a doc_id are one document.
     """
@@ -185,9 +239,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, text: str = "text") ->
     seen = stage(sketches(docs), "sketches")
     usable = seen.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     reps = stage(usable.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "sets")
-    families = candidate_families(reps)
+    families, heads = candidate_families(reps)
+    heads = heads.join(families, "doc_id").select("doc_id", "family", "head")
     members = stage(docs.join(families, "doc_id").select("doc_id", "family", "text").mapInArrow(_sets, "doc_id long, family long, items array<long>"), "members")
-    components = confirmed_components(members, families, threshold)
+    components = confirmed_components(members, families, heads, threshold)
     named = stage(reps.select("set_key", "doc_id").join(components, "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component")), "named-sets")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = seen.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").withColumn("component_id", found)
