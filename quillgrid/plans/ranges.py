@@ -101,6 +101,13 @@ def product_by_flag(spark, sf_dir):
     return li.withColumn("g", 1 + F.col("l_tax") / 1000).groupBy("l_returnflag").agg(r(A.PRODUCT("g")).alias("grown"))
 
 
+@query("SELECT l_returnflag, round(1e6 * ln(product(1 + l_tax / 1e6)), 3) AS log_grown FROM lineitem GROUP BY 1")
+def product_by_flag_all(spark, sf_dir):
+    """PRODUCT within all rows of each group, shown as a logarithm; its factors overflow from some 10**10 rows a group."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.withColumn("g", 1 + F.col("l_tax") / 1e6).groupBy("l_returnflag").agg(r(1e6 * F.ln(A.PRODUCT("g")), 3).alias("log_grown"))
+
+
 @query("SELECT 1.0 * 3 AS gcd, 2520.0 AS lcm")
 def gcd_lcm_constants(spark, sf_dir):
     """GCD of 12, 18, 27 and LCM of 1 to 10 over a column."""
