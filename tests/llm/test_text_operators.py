@@ -245,6 +245,25 @@ def test_language_id(spark):
     assert langid.fit(table.limit(0)) == {} and {r["lang_pred"] for r in langid.identify(table, {}).collect()} == {"und"}
 
 
+def test_language_stage_rejects_what_it_has_not_learned(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    french = "le la les des une est dans pour que qui sur avec nous vous être même très forêt école année où déjà après toujours maison".split()
+    rows = [(i, prose(3000 + i, 5 + i), "en") for i in range(100)] + [(100 + i, " ".join(rng.choice(french) for _ in range(5 + i)) + ".", "fr") for i in range(100)]
+    clean = {i for i, _, _ in rows} | {200, 201}
+    rows += [(200, "Rantel.", "en"), (201, "déjà", "fr")]
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2000))
+    spaced = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(300))
+    code = " ".join(f"{rng.randrange(16**32):032x}" for _ in range(60))
+    rows += [(300 + i, t, None) for i, t in enumerate([polish, finnish, letters, spaced, code, "123 456", None])]
+    frame = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], SCHEMA)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, frame, "").select("doc_id").collect()}
+    assert kept == clean
+
+
 def test_token_counts(spark):
     counter = tokencount.Counter(tokencount.read_vocabulary(PIECES))
     vocabulary = [("<unk>", 0.0), *[(f"<0x{i:02X}>", 0.0) for i in range(256)], *tokencount.read_vocabulary(PIECES)]
