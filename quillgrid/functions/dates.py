@@ -208,8 +208,9 @@ def NETWORKDAYS(start, end, holidays: list[float] = ()) -> Cell:
     def f(a, b):
         low, high = F.least(F.floor(a), F.floor(b)), F.greatest(F.floor(a), F.floor(b))
         n = _weekdays_until(high) - _weekdays_until(low - 1)
-        for h in _holidays(holidays):
-            n = n - F.when((low <= h) & (h <= high), 1).otherwise(0)
+        listed = _holidays(holidays)
+        if listed:
+            n = n - F.size(F.filter(F.array(*map(F.lit, listed)), lambda h: h.between(low, high)))
         return F.when(a <= b, n).otherwise(-n).cast("double")
 
     return arithmetic(start, end, f, lambda a, b: _good(a) + _good(b))
@@ -229,10 +230,9 @@ def WORKDAY(start, days, holidays: list[float] = ()) -> Cell:
             return F.floor((index - 1) / 5) * 7 + F.pmod(index - 1, F.lit(5)) + 2
 
         ahead, back = base + count, base + count + F.when(on_weekend, 1).otherwise(0)
-        for h in listed:
-            ahead = ahead + F.when((F.floor(a) < h) & (F.lit(h) <= nth(ahead)), 1).otherwise(0)
-        for h in reversed(listed):
-            back = back - F.when((F.floor(a) > h) & (F.lit(h) >= nth(back)), 1).otherwise(0)
+        if listed:  # each holiday on the way moves the end by one; one fold, whatever their number
+            ahead = F.aggregate(F.array(*map(F.lit, listed)), ahead, lambda at, h: at + F.when((F.floor(a) < h) & (h <= nth(at)), 1).otherwise(0))
+            back = F.aggregate(F.array(*map(F.lit, reversed(listed))), back, lambda at, h: at - F.when((F.floor(a) > h) & (h >= nth(at)), 1).otherwise(0))
         return F.when(count > 0, nth(ahead)).when(count < 0, nth(back)).otherwise(F.floor(a)).cast("double")
 
     return arithmetic(start, days, f, lambda a, n: _good(a))

@@ -128,6 +128,11 @@ def ISODD(x) -> Cell:
     return _parity(x, 1)
 
 
+def ISREF(x) -> Cell:
+    """Whether the argument is a range of cells (quillgrid.operators.ranges.Range) and not a value."""
+    return Cell("bool", F.lit(hasattr(x, "first_row")))
+
+
 def N(x) -> Cell:
     c = cell(x)
     return to_number(c) if c.kind in ("num", "bool") else Cell("num", F.lit(0.0), c.error)

@@ -13,13 +13,22 @@ from quillgrid.functions.mathematics import half_away
 
 # Built-in format numbers.
 BUILTIN = {
-    0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??",
-    14: "m/d/yyyy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss",
-    22: "m/d/yyyy h:mm", 37: "#,##0 ;(#,##0)", 38: "#,##0 ;[Red](#,##0)", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;[Red](#,##0.00)",
-    45: "mm:ss", 46: "[h]:mm:ss", 47: "mm:ss.0", 48: "##0.0E+0", 49: "@",
+    0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00",
+    5: "$#,##0_);($#,##0)", 6: "$#,##0_);[Red]($#,##0)", 7: "$#,##0.00_);($#,##0.00)", 8: "$#,##0.00_);[Red]($#,##0.00)",
+    9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??",
+    14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss",
+    22: "m/d/yy h:mm", 37: "#,##0 ;(#,##0)", 38: "#,##0 ;[Red](#,##0)", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;[Red](#,##0.00)",
+    41: '_(* #,##0_);_(* (#,##0);_(* "-"_);_(@_)', 42: '_($* #,##0_);_($* (#,##0);_($* "-"_);_(@_)',
+    43: '_(* #,##0.00_);_(* (#,##0.00);_(* "-"??_);_(@_)', 44: '_($* #,##0.00_);_($* (#,##0.00);_($* "-"??_);_(@_)',
+    45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 48: "##0.0E+0", 49: "@",
 }
 # Formats of financial models by name.
-FINANCE = {"bps": '0 "bps"', "multiple": '0.0"x"', "millions": '$#,##0.0,,"mm"', "billions": '$#,##0.0,,,"bn"', "signed_percent": "+0.0%;-0.0%;0.0%"}
+FINANCE = {
+    "bps1": '0.0\\ "bps"', "bps2": '0.00\\ "bps"', "usd_millions1": '[$$-409]#,##0.0,,\\ "mm"', "usd_millions2": '[$$-409]#,##0.00,,\\ "mm"',
+    "usd_billions2": '[$$-409]#,##0.00,,,\\ "bn"', "pct1_signed": "+0.0%;-0.0%;0.0%", "pct2_signed": "+0.00%;-0.00%;0.00%", "multiple2": "0.00x", "integer_thousands": "#,##0",
+}
+# The format of a measure's kind.
+MEASURES = {"currency": "usd_millions2", "percentage": "pct2_signed", "bps": "bps1", "multiple": "multiple2", "number": "integer_thousands"}
 
 
 def is_date(code: str) -> bool:
@@ -67,6 +76,8 @@ def _number(x: Column, code: str) -> Column:
                     rest = F.expr("''") if places == 0 else F.concat(F.lit("."), F.substring_index(shown, ".", -1))
                     shown = F.concat(F.lpad(left, F.greatest(F.length(left), F.lit(digits)), F.lit("0")), rest)
             out.append(shown)
+        elif t.startswith("[$"):  # a currency sign, with a locale perhaps
+            out.append(F.lit(t[2:-1].partition("-")[0]))
         elif t == exponent or t[0] in "*[" or re.fullmatch(r"[0#?.,]+", t):
             continue
         else:

@@ -1,15 +1,17 @@
 """Range aggregates as Spark aggregate expressions.
 
 Each takes one or more columns of a DataFrame (a range may span several) and returns a Column for df.agg(...), so any
-number of them run in one pass with map-side partial aggregation. Text that is typed as text and blanks do not count;
-booleans count as 1 and 0 unless said otherwise.
+number of them run in one pass with map-side partial aggregation. The kind of a column decides what its cells are: text
+and blanks do not count, booleans are 1 and 0 (COUNT and PRODUCT skip them), and for the A-forms text is 0. The kind is
+a constant to the optimizer, so a numeric column stays a bare aggregate. `numbers` does the same for cell tables, whose
+cells are of mixed kinds.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions.cells import DIV0, NUM
@@ -20,7 +22,27 @@ def _cols(columns) -> list[Column]:
 
 
 def _num(c: Column) -> Column:
-    return c.cast("double")
+    """The numbers of a column: none of a text column, 1 and 0 of a boolean one."""
+    return F.when(F.typeof(c) == "string", F.lit(None).cast("double")).otherwise(c.try_cast("double"))
+
+
+def _only(c: Column) -> Column:
+    """As _num, but none of a boolean column."""
+    return F.when(F.typeof(c) != "boolean", _num(c))
+
+
+def _every(c: Column) -> Column:
+    """As _num, but text is 0."""
+    return F.when(F.typeof(c) == "string", F.when(c.isNotNull(), F.lit(0.0))).otherwise(c.try_cast("double"))
+
+
+def numbers(every: bool = False, booleans: bool = True) -> Column:
+    """The numbers of a cell table (columns kind, num, bool) for any of the aggregates: booleans are 1 and 0 or, as for
+    COUNT and PRODUCT, none; with `every`, as for the A-forms, text is 0."""
+    kind = F.col("kind")
+    out = F.when(kind == "n", F.col("num"))
+    out = out.when(kind == "b", F.col("bool").cast("double")) if booleans else out
+    return out.when(kind == "s", F.lit(0.0)) if every else out
 
 
 def _add(parts: list[Column]) -> Column:
@@ -32,10 +54,17 @@ def SUM(*columns) -> Column:
 
 
 def COUNT(*columns) -> Column:
+    """Of numbers; booleans do not count."""
+    return _add([F.count(_only(c)) for c in _cols(columns)])
+
+
+def COUNTA(*columns) -> Column:
+    """Of whatever is not blank."""
     return _add([F.count(c) for c in _cols(columns)])
 
 
-COUNTA = COUNT
+def _terms(columns) -> Column:
+    return _add([F.count(_num(c)) for c in _cols(columns)])
 
 
 def COUNTBLANK(column) -> Column:
@@ -44,14 +73,13 @@ def COUNTBLANK(column) -> Column:
 
 
 def AVERAGE(*columns) -> Column:
-    n = COUNT(*columns)
+    n = _terms(columns)
     return F.when(n > 0, SUM(*columns) / F.when(n > 0, n))
 
 
-def AVERAGEA(column, is_text: bool = False) -> Column:
+def AVERAGEA(column) -> Column:
     """Text counts as 0."""
-    c = _cols([column])[0]
-    return F.avg(F.when(c.isNotNull(), F.lit(0.0))) if is_text else F.avg(_num(c))
+    return F.avg(_every(_cols([column])[0]))
 
 
 def MAX(*columns) -> Column:
@@ -62,11 +90,18 @@ def MIN(*columns) -> Column:
     return F.coalesce(F.least(*[F.min(_num(c)) for c in _cols(columns)], F.lit(None).cast("double")), F.lit(0.0))
 
 
-MAXA, MINA = MAX, MIN
+def MAXA(*columns) -> Column:
+    """Text counts as 0."""
+    return MAX(*[_every(c) for c in _cols(columns)])
+
+
+def MINA(*columns) -> Column:
+    """Text counts as 0."""
+    return MIN(*[_every(c) for c in _cols(columns)])
 
 
 def PRODUCT(column) -> Column:
-    c = _num(_cols([column])[0])
+    c = _only(_cols([column])[0])
     return F.when(F.count(c) == 0, 0.0).otherwise(F.product(c))
 
 
@@ -118,6 +153,26 @@ def VARP(column) -> Column:
     return F.var_pop(_num(_cols([column])[0]))
 
 
+def STDEVA(column) -> Column:
+    """Text counts as 0, as in the next three."""
+    return F.stddev_samp(_every(_cols([column])[0]))
+
+
+def STDEVPA(column) -> Column:
+    return F.stddev_pop(_every(_cols([column])[0]))
+
+
+def VARA(column) -> Column:
+    return F.var_samp(_every(_cols([column])[0]))
+
+
+def VARPA(column) -> Column:
+    return F.var_pop(_every(_cols([column])[0]))
+
+
+STDEV_S, STDEV_P, VAR_S, VAR_P = STDEV, STDEVP, VAR, VARP
+
+
 def DEVSQ(column) -> Column:
     c = _num(_cols([column])[0])
     return F.var_pop(c) * F.count(c)
@@ -131,7 +186,7 @@ def GEOMEAN(column) -> Column:
 
 def average_error(*columns) -> Column:
     """#DIV/0! where AVERAGE has nothing to average."""
-    return F.when(COUNT(*columns) == 0, F.lit(DIV0))
+    return F.when(_terms(columns) == 0, F.lit(DIV0))
 
 
 def spread_error(column, least: int = 2) -> Column:
@@ -144,21 +199,71 @@ def empty_error(column) -> Column:
     return F.when(F.count(_num(_cols([column])[0])) == 0, F.lit(NUM))
 
 
+#: Values that one group of a fold holds at most, about.
+FOLD = 256
+
+
 def GCD_LCM(df: DataFrame, column: str) -> DataFrame:
     """(gcd, lcm) of a column of whole numbers; #NUM! for one out of [0, 2^53) is left to the caller's guard. Distinct
-    values are folded in partial sets, which is small where a divisor or multiple is of use at all."""
-    values = df.select(F.floor(F.col(column).cast("double")).cast("bigint").alias("x")).where("x IS NOT NULL").distinct()
+    values are folded in groups of about FOLD, the results again, until one is left, so no group grows with the table."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
 
     def gcd(a, b):
-        step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % F.when(s["y"] == 0, F.lit(1).cast("bigint")).otherwise(s["y"])).alias("y")))
+        step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % F.when(s["y"] == 0, one).otherwise(s["y"])).alias("y")))
         return F.aggregate(F.sequence(F.lit(1), F.lit(80)), F.struct(a.alias("x"), b.alias("y")), step)["x"]
 
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    fold_gcd = F.aggregate("xs", zero, gcd)
-    fold_lcm = F.aggregate("xs", one, lambda a, b: F.when((a == 0) | (b == 0), zero).otherwise(F.floor(a / gcd(a, b)) * b))
-    parts = values.groupBy(F.pmod(F.xxhash64("x"), F.lit(64)).alias("part")).agg(F.collect_list("x").alias("xs"))
-    each = parts.select(fold_gcd.alias("g"), fold_lcm.alias("l")).groupBy().agg(F.collect_list("g").alias("gs"), F.collect_list("l").alias("ls"))
-    return each.select(F.aggregate("gs", zero, gcd).cast("double").alias("gcd"), F.aggregate("ls", one, lambda a, b: F.when((a == 0) | (b == 0), zero).otherwise(F.floor(a / gcd(a, b)) * b)).cast("double").alias("lcm"))
+    def lcm(a, b):
+        return F.when((a == 0) | (b == 0), zero).otherwise(F.floor(a / gcd(a, b)) * b)
+
+    x = F.floor(F.col(column).cast("double")).cast("bigint")
+    live = df.select(x.alias("g"), x.alias("l")).where("g IS NOT NULL").distinct()
+    n = live.count()
+    while n > FOLD:
+        n = -(-n // FOLD)
+        parts = live.groupBy(F.pmod(F.xxhash64("g", "l"), F.lit(n)).alias("part")).agg(F.collect_list("g").alias("gs"), F.collect_list("l").alias("ls"))
+        live = parts.select(F.aggregate("gs", zero, gcd).alias("g"), F.aggregate("ls", one, lcm).alias("l"))
+    whole = live.agg(F.collect_list("g").alias("gs"), F.collect_list("l").alias("ls"))
+    return whole.select(F.aggregate("gs", zero, gcd).cast("double").alias("gcd"), F.aggregate("ls", one, lcm).cast("double").alias("lcm"))
+
+
+#: Distinct values, or rows, that a search for a rank sorts in one task.
+FEW = 100_000
+
+
+def nth_largest(df: DataFrame, column: str, n: int) -> float | None:
+    """The n-th largest number (ties counted one by one), None if there are fewer. A bracket around it is narrowed by
+    approximate quantiles and exact counts until few distinct values are left, so no task sorts the table."""
+    rows = df.select(_num(F.col(column)).alias("x")).where("x IS NOT NULL")
+    total = rows.count()
+    if not 1 <= n <= total:
+        return None
+    slack = 1e-3
+    while True:
+        counts = rows.groupBy("x").agg(F.count("*").alias("k"))
+        if counts.limit(FEW + 1).count() <= FEW:
+            seen = counts.withColumn("seen", F.sum("k").over(Window.orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, 0)))  # FEW rows at most
+            return seen.where(F.col("seen") >= n).agg(F.max("x").alias("x")).first()["x"]
+        at = 1 - n / total
+        low, high = rows.agg(F.percentile_approx("x", [max(0.0, at - slack), min(1.0, at + slack)], 10_000).alias("q")).first()["q"]
+        above, within = rows.agg(F.count_if(F.col("x") > high).alias("a"), F.count_if(F.col("x").between(low, high)).alias("w")).first()
+        if not above < n <= above + within:
+            slack *= 4  # the quantiles are approximate
+            continue
+        if within == total:
+            return _nth_by_sort(rows, n)
+        rows, n, total, slack = rows.where(F.col("x").between(low, high)), n - above, within, 1e-3
+
+
+def _nth_by_sort(rows: DataFrame, n: int) -> float:
+    """For rows that quantiles cannot part: the n-th by a distributed sort, of which one row is taken."""
+    return rows.orderBy(F.desc("x")).offset(n - 1).limit(1).first()["x"]
+
+
+def MEDIAN_OF(df: DataFrame, column: str) -> DataFrame:
+    """(median): as MEDIAN, which holds all distinct values of a group in one buffer, but for tables of any size."""
+    n = df.select(_num(F.col(column)).alias("x")).agg(F.count("x").alias("n")).first()["n"]
+    ends = [nth_largest(df, column, k) for k in {(n + 1) // 2, n // 2 + 1}] if n else []
+    return df.sparkSession.createDataFrame([(sum(ends) / len(ends) if ends else None,)], "median double")
 
 
 def AVEDEV(df: DataFrame, column: str) -> DataFrame:
@@ -168,19 +273,34 @@ def AVEDEV(df: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(mean)).agg(F.avg(F.abs(c - F.col("mean"))).alias("avedev"))
 
 
+def _ranked(df: DataFrame, column: str, k: int, name: str) -> DataFrame:
+    found = nth_largest(df, column, k)
+    return df.sparkSession.createDataFrame([(found, None if found is not None else NUM)], f"{name} double, error string")
+
+
 def LARGE(df: DataFrame, column: str, k: int) -> DataFrame:
-    """(large): the k-th largest number, NULL and #NUM! in `error` if there is none. Counts of distinct values are
-    ordered, not rows."""
-    c = F.col(column).cast("double")
-    top = df.where(c.isNotNull()).select(c.alias("x")).orderBy(F.desc("x")).limit(k)
-    return top.agg(F.when(F.count("*") >= k, F.min("x")).alias("large"), F.when(F.count("*") < max(k, 1), F.lit(NUM)).alias("error"))
+    """(large, error): the k-th largest number, NULL and #NUM! if there is none."""
+    return _ranked(df, column, k, "large")
 
 
 def SMALL(df: DataFrame, column: str, k: int) -> DataFrame:
-    """(small): the k-th smallest number."""
-    c = F.col(column).cast("double")
-    low = df.where(c.isNotNull()).select(c.alias("x")).orderBy("x").limit(k)
-    return low.agg(F.when(F.count("*") >= k, F.max("x")).alias("small"), F.when(F.count("*") < max(k, 1), F.lit(NUM)).alias("error"))
+    """(small, error): the k-th smallest number."""
+    n = df.select(_num(F.col(column)).alias("x")).agg(F.count("x").alias("n")).first()["n"]
+    return _ranked(df, column, n + 1 - k if k >= 1 else 0, "small")
+
+
+#: The range functions by their spreadsheet names.
+RANGE_FUNCTIONS = {
+    "SUM": SUM, "COUNT": COUNT, "COUNTA": COUNTA, "COUNTBLANK": COUNTBLANK, "AVERAGE": AVERAGE, "AVERAGEA": AVERAGEA, "MAX": MAX, "MIN": MIN, "MAXA": MAXA,
+    "MINA": MINA, "PRODUCT": PRODUCT, "SUMSQ": SUMSQ, "SUMPRODUCT": SUMPRODUCT, "SUMX2MY2": SUMX2MY2, "SUMX2PY2": SUMX2PY2, "SUMXMY2": SUMXMY2,
+    "MEDIAN": MEDIAN, "STDEV": STDEV, "STDEV.S": STDEV, "STDEVP": STDEVP, "STDEV.P": STDEVP, "STDEVA": STDEVA, "STDEVPA": STDEVPA, "VAR": VAR, "VAR.S": VAR,
+    "VARP": VARP, "VAR.P": VARP, "VARA": VARA, "VARPA": VARPA, "DEVSQ": DEVSQ, "GEOMEAN": GEOMEAN,
+}
+
+
+def call(name: str, *columns) -> Column:
+    """A range function by name, in any case, as an aggregate of columns; KeyError if there is none."""
+    return RANGE_FUNCTIONS[name.upper()](*columns)
 
 
 #: Function numbers of SUBTOTAL.

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrid.operators.aggregates import nth_largest
 from quillgrid.operators.criteria import criterion
 
 EPSILON = 1e-9
@@ -28,15 +30,16 @@ def filter_custom(df: DataFrame, column: str, *wanted, both: bool = True) -> Dat
 def filter_top(df: DataFrame, column: str, n: float, bottom: bool = False, percent: bool = False) -> DataFrame:
     """The rows of the n largest (smallest) values, ties at the edge included; with percent, of ceil(n% of the rows).
 
-    The edge value is found by a limited sort, so no window spans the table.
+    The edge value is found by narrowing a bracket, so neither a window nor one task's sort spans the table.
     """
     c = F.col(column)
-    some = df.where(c.isNotNull())
-    if percent:
-        n = -(-some.count() * n // 100)
-    edge = some.select(c.alias("edge")).orderBy(c.asc() if bottom else c.desc()).limit(int(n))
-    bound = edge.agg((F.max("edge") if bottom else F.min("edge")).alias("edge"))
-    return df.join(F.broadcast(bound), c <= F.col("edge") if bottom else c >= F.col("edge")).drop("edge")  # one row
+    total = df.where(c.isNotNull()).count()
+    n = math.ceil(total * n / 100) if percent else int(n)
+    if n < 1 or not total:
+        return df.limit(0)
+    signed = df.select((-c if bottom else c).alias("x"))
+    edge = nth_largest(signed, "x", min(n, total))
+    return df.where(-c >= edge if bottom else c >= edge)
 
 
 def filter_average(df: DataFrame, column: str, above: bool = True) -> DataFrame:
@@ -121,9 +124,26 @@ def duplicates(df: DataFrame, column: str, unique: bool = False) -> DataFrame:
     return df.join(picked, F.col(column) == F.col("dup value"), "left_semi")
 
 
+#: Parts of a group whose largest values are found apart from each other.
+SALTS = 64
+
+
 def rank_flags(df: DataFrame, column: str, by: list[str], n: int, name: str = "top") -> DataFrame:
-    """df with a flag on the n largest values within each group of `by`."""
-    return df.withColumn(name, F.rank().over(Window.partitionBy(*by).orderBy(F.desc(column))) <= n)
+    """df with a flag on the n largest values within each group of `by`, ties at the edge included.
+
+    The n largest of each of a group's parts are found first, the group's n-th largest among those, so a group of very
+    many rows is not ranked in one task.
+    """
+    keys = [F.col(k).alias(f"rank {i}") for i, k in enumerate(by)]
+    names = [f"rank {i}" for i in range(len(by))]
+    values = df.select(*keys, F.col(column).alias("rank value"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("rank part"))
+    order = F.desc_nulls_last("rank value")
+    best = values.withColumn("rank at", F.row_number().over(Window.partitionBy(*names, "rank part").orderBy(order))).where(F.col("rank at") <= n)
+    best = best.withColumn("rank at", F.row_number().over(Window.partitionBy(*names).orderBy(order))).where(F.col("rank at") <= n)
+    edges = best.groupBy(*names).agg(F.min("rank value").alias("rank edge"), F.count("rank value").alias("rank n"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(x)) for k, x in zip(by, names, strict=True)])
+    flag = F.coalesce(F.col(column) >= F.col("rank edge"), F.col("rank n") < n)  # blanks come last
+    return df.join(edges, same, "left").withColumn(name, flag).drop(*names, "rank edge", "rank n")
 
 
 def validation(column: str, kind: str, op: str = "between", a=None, b=None, blanks: bool = True, items: list | None = None) -> Column:

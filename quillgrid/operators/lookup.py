@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions.cells import NA
+from quillgrid.operators.positions import numbered
 
 #: Rows of an approximate table that are kept as one sorted array in every task; larger ones are merged by a window.
 ARRAY_ROWS = 50_000
@@ -76,12 +77,23 @@ def _merged(df: DataFrame, asked: DataFrame, points: DataFrame, name: str) -> Da
     left = asked.select(F.col("lookup key").alias("k"), whole.alias("r"), F.lit(None).cast(points.schema["v"].dataType).alias("v"), F.lit(1).alias("side")).withColumn("part", part(F.col("k")))
     right = points.select("k", none.alias("r"), "v", F.lit(0).alias("side")).withColumn("part", part(F.col("k")))
     # A cut is itself a point, so a range's rows find theirs inside it; only the rows under the first cut may find none.
-    window = Window.partitionBy("part").orderBy(F.col("k").asc_nulls_first(), "side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = left.unionByName(right).withColumn("hit", F.last("v", ignorenulls=True).over(window)).where("side = 1")
+    # Rows are dealt to salts within a range, each with all of the range's points, so rows of one key are no one task.
+    window = Window.partitionBy("part", "salt").orderBy(F.col("k").asc_nulls_first(), "side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = _salted(left, right).withColumn("hit", F.last("v", ignorenulls=True).over(window)).where("side = 1")
     hit = F.when(F.col("k").isNotNull(), F.col("hit"))
     return seen.select(*[F.col(f"r.`{c}`").alias(c) for c in df.columns], hit["v"].alias(name), F.when(hit.isNull(), F.lit(NA)).alias(f"{name}_error"))
 
 
+#: Salts of each range of a large approximate lookup.
+SALTS = 16
+
+
+def _salted(left: DataFrame, right: DataFrame) -> DataFrame:
+    dealt = left.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    copied = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.unionByName(copied)
+
+
 def match(df: DataFrame, key: str, table: DataFrame, table_key: str, order: str, kind: int = 0, name: str = "position") -> DataFrame:
     """df with the 1-based position in table (by `order`) of the key: 0 the first equal one, 1 the largest not above,
     -1 the smallest not below. Positions are made for the table's distinct keys."""
@@ -93,13 +105,8 @@ def match(df: DataFrame, key: str, table: DataFrame, table_key: str, order: str,
 
 
 def _positions(rows: DataFrame) -> DataFrame:
-    """Global row numbers by `mo` without a single-task sort: rank within a range plus the counts of earlier ranges."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = rows.repartitionByRange(parts, "mo").withColumn("mr", F.spark_partition_id())
-    counts = sorted_rows.groupBy("mr").agg(F.count("*").alias("n"))
-    before = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("mr").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inside = sorted_rows.withColumn("mi", F.row_number().over(Window.partitionBy("mr").orderBy("mo")))
-    return inside.join(F.broadcast(before), "mr").select("mk", "mo", (F.col("base") + F.col("mi")).alias("mp"))  # a row a range
+    """Row numbers by `mo`, as `mp`."""
+    return numbered(rows, [F.asc("mo")], "mp")
 
 
 def index(df: DataFrame, position: str, table: DataFrame, order: str, value: str, name: str = "found") -> DataFrame:
@@ -111,13 +118,16 @@ def index(df: DataFrame, position: str, table: DataFrame, order: str, value: str
     return joined.select(*[df[c] for c in df.columns], F.col("mk").alias(name), failed.alias(f"{name}_error"))
 
 
-def hlookup(df: DataFrame, key: str, table: DataFrame, row: int, order: str, name: str = "found") -> DataFrame:
-    """The cell of row `row` (1 is the header) of the column whose header equals the key. The row is unpivoted: as many
-    rows as the table has columns."""
+def hlookup(df: DataFrame, key: str, table: DataFrame, row: int, order: str, name: str = "found", approximate: bool = False) -> DataFrame:
+    """The cell of row `row` (1 is the header) of the first column whose header equals the key; with approximate, of the
+    largest numeric header that is not above the key. The row is unpivoted: as many rows as the table has columns."""
     columns = [c for c in table.columns if c != order]
     picked = table.orderBy(order).limit(row - 1).orderBy(F.desc(order)).limit(1) if row > 1 else None
     if picked is None:
-        headers = table.sparkSession.createDataFrame([(c, c) for c in columns], "header string, cell string")
+        headers = table.sparkSession.createDataFrame([(i, c, c) for i, c in enumerate(columns)], "place int, header string, cell string")
     else:
-        headers = picked.select(F.explode(F.array(*[F.struct(F.lit(c).alias("header"), F.col(c).cast("string").alias("cell")) for c in columns])).alias("h")).select("h.*")
-    return vlookup_exact(df, key, headers, "header", "cell", None, name)
+        cells = [F.struct(F.lit(i).alias("place"), F.lit(c).alias("header"), F.col(c).cast("string").alias("cell")) for i, c in enumerate(columns)]
+        headers = picked.select(F.explode(F.array(*cells)).alias("h")).select("h.*")
+    if approximate:
+        return lookup_approximate(df, key, headers.withColumn("header", F.col("header").try_cast("double")), "header", "cell", name=name)
+    return vlookup_exact(df, key, headers, "header", "cell", "place", name)

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 _A1 = re.compile(r"^(?:(?:'((?:[^']|'')+)'|([A-Za-z_][\w.]*))!)?\$?([A-Za-z]{1,3})\$?(\d+)(?::\$?([A-Za-z]{1,3})\$?(\d+))?$")
 
+_R1C1 = re.compile(r"^R([1-9]\d*)C([1-9]\d*)(?::R([1-9]\d*)C([1-9]\d*))?$", re.IGNORECASE)
+
 
 def column_index(letters: str) -> int:
     """1 for A, 27 for AA."""
@@ -57,6 +59,16 @@ class Range:
         one, two = f"R{self.first_row}C{self.first_col}", f"R{self.last_row}C{self.last_col}"
         return one if one == two else f"{one}:{two}"
 
+    @classmethod
+    def of_r1c1(cls, text: str) -> Range:
+        """From R1C1 text, a single cell or two corners in any order."""
+        m = _R1C1.match(text.strip())
+        if not m:
+            raise ValueError(f"not a range: {text!r}")
+        r1, c1, r2, c2 = m.groups()
+        rows, cols = sorted((int(r1), int(r2 or r1))), sorted((int(c1), int(c2 or c1)))
+        return cls.of(f"{letters_of(cols[0])}{rows[0]}:{letters_of(cols[1])}{rows[1]}")
+
     def ROW(self) -> int:
         return self.first_row
 

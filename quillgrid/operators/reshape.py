@@ -114,6 +114,22 @@ def find_cells(cells: DataFrame, part: str) -> DataFrame:
     return cells.where(display().contains(part))
 
 
+def find_cells_by_value(cells: DataFrame, value) -> DataFrame:
+    """Cells that hold just this number, text or boolean."""
+    c = F.col("bool") if isinstance(value, bool) else F.col("num") if isinstance(value, (int, float)) else F.col("txt")
+    return cells.where(c == F.lit(value))
+
+
+def set_values_2d(cells: DataFrame, values: DataFrame, row: str, at_row: int, at_col: int, sheet: str = "Sheet1") -> DataFrame:
+    """cells with a table's values (its rows numbered by `row` from 1) put in from a corner on; blanks of the table clear
+    what they meet."""
+    columns = [c for c in values.columns if c != row]
+    place = {"row": F.col("row") + at_row - 1, "col": (F.col("col") + at_col - 1).cast("int")}
+    new = to_cells(values, row, sheet).withColumns(place)
+    covered = values.select(F.lit(sheet).alias("sheet"), F.col(row).cast("long").alias("row"), F.explode(F.sequence(F.lit(1), F.lit(len(columns)))).alias("col")).withColumns(place)
+    return upsert(cells.join(covered, ["sheet", "row", "col"], "left_anti"), new)
+
+
 def replace_text(cells: DataFrame, old: str, new: str) -> DataFrame:
     """Text cells with every occurrence replaced; formulas and numbers stay."""
     return cells.withColumn("txt", F.when(F.col("formula").isNull(), F.replace("txt", F.lit(old), F.lit(new))).otherwise(F.col("txt")))

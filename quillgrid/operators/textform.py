@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions.cells import Cell, number_text
 from quillgrid.functions.logic import column_letters
+from quillgrid.operators.reshape import upsert
 
 
 def reference(row: Column, col: Column) -> Column:
@@ -66,6 +67,13 @@ def checksum(lines: DataFrame) -> DataFrame:
     return lines.groupBy("sheet").agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).cast("string")), 256).alias("checksum"))
 
 
+def apply_guarded(cells: DataFrame, changes: DataFrame, expected: DataFrame) -> DataFrame:
+    """cells with changes put in their places on the sheets that are as `expected` (sheet, checksum) says; changes of a
+    sheet that was altered since, or that `expected` does not name, are not applied."""
+    same = checksum(derive_lines(cells)).join(expected, ["sheet", "checksum"], "left_semi").select("sheet")
+    return upsert(cells, changes.join(same, "sheet", "left_semi"))
+
+
 def lint_references(formulas: DataFrame, sheets: DataFrame) -> DataFrame:
     """(sheet, row, col, code): formulas that name a sheet that is not there, or whose quotes or brackets do not close."""
     named = formulas.withColumn("named", F.regexp_extract_all("formula", F.lit(r"(?:'((?:[^']|'')+)'|([A-Za-z_][\w.]*))!"), F.lit(0)))
@@ -98,8 +106,8 @@ def lint_edits(edits: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def apply_edits(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     """nodes (id, text) with edits (id, text, group) applied; a group applies only if all its ids exist. Of several
-    edits of one id the greatest text counts."""
+    edits of one id the last by `edit` counts, if the edits have that column, else the greatest text."""
     known = edits.join(nodes.select("id", F.lit(True).alias("there")).distinct(), "id", "left")
     whole = known.groupBy("group").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("whole")).where("whole").select("group")
-    chosen = edits.join(whole, "group", "left_semi").groupBy("id").agg(F.max("text").alias("new_text"))
+    chosen = edits.join(whole, "group", "left_semi").groupBy("id").agg((F.max_by("text", "edit") if "edit" in edits.columns else F.max("text")).alias("new_text"))
     return nodes.join(chosen, "id", "left").withColumn("text", F.coalesce("new_text", "text")).drop("new_text")

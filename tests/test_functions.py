@@ -70,8 +70,8 @@ def test_scalar_cases(spark):
 
 FORMATS = [
     (1234.5, "#,##0.00", "1,234.50"), (-3.0, "0;(0)", "(3)"), (0.0, '0;-0;"zero"', "zero"), (0.125, "0.0%", "12.5%"), (12345.678, "0.00E+00", "1.23E+04"), (1.5, "# ?/?", "1 1/2"),
-    (45292.0, "yyyy-mm-dd", "2024-01-01"), (45292.75, "h:mm AM/PM", "6:00 PM"), (1.5, "[h]:mm:ss", "36:00:00"), (7.0, "000", "007"), (1234567.0, '0.0,,"M"', "1.2M"), (25.0, "bps", "25 bps"), (1.0, "General", "1"),
-    (0.5, "#.##", ".5"), (45292.0, 14, "1/1/2024"),
+    (45292.0, "yyyy-mm-dd", "2024-01-01"), (45292.75, "h:mm AM/PM", "6:00 PM"), (1.5, "[h]:mm:ss", "36:00:00"), (7.0, "000", "007"), (1234567.0, '0.0,,"M"', "1.2M"), (12.345, "bps1", "12.3 bps"), (2.5, "multiple2", "2.50x"), (25e6, "usd_millions1", "$25.0 mm"), (0.0, 41, " - "), (1.0, "General", "1"),
+    (0.5, "#.##", ".5"), (45292.0, 14, "01-01-24"),
 ]
 
 

@@ -155,3 +155,43 @@ def test_stream(spark, tmp_path):
     got = {(str(r["start"]), r["k"]): (r["n"], r["s"]) for r in spark.sql("SELECT * FROM spans").collect()}
     want = {(str(r["start"]), r["k"]): (r["n"], r["s"]) for r in rowwise.windowed(rowwise.with_cells(batch, {"twice": num("v") + num("v")}), "at", ["k"], {"n": A.COUNT("id"), "s": A.SUM("twice")}).collect()}
     assert got == want and len(got) == 6
+
+
+def test_ranks_of_large_tables(spark, monkeypatch):
+    monkeypatch.setattr(A, "FEW", 50)
+    values = [float(i * i % 997) for i in range(3000)] + [5.0] * 2000 + [None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    order = sorted((v for v in values if v is not None), reverse=True)
+    for n in (1, 2, 700, 2500, 4999, 5000):
+        assert A.nth_largest(df, "x", n) == order[n - 1]
+    assert A.nth_largest(df, "x", 5001) is None and A.nth_largest(df, "x", 0) is None and A.nth_largest(df.limit(0), "x", 1) is None
+    assert A.MEDIAN_OF(df, "x").first()["median"] == (order[2499] + order[2500]) / 2
+
+
+def test_kinds_of_columns(spark):
+    df = spark.createDataFrame([("5", True, 2.0), ("a", False, None), (None, None, 4.0)], "t string, b boolean, n double")
+    row = df.agg(A.COUNT("t").alias("a"), A.COUNT("b").alias("b"), A.SUM("t", "b", "n").alias("c"), A.PRODUCT("b").alias("d"), A.MINA("t", "n").alias("e"), A.AVERAGE("t").alias("f"), A.COUNTA("t").alias("g"), A.STDEVPA("b").alias("h")).first()
+    assert list(row) == [0, 0, 7.0, 0.0, 0.0, None, 2, 0.5]
+
+
+def test_workday_with_many_holidays(spark):
+    from quillgrid.functions import dates as DT
+    from quillgrid.functions.cells import num
+
+    rows = spark.createDataFrame([(45292.0,), (45296.0,), (45297.0,)], "d double")
+    holidays = list(range(45300, 45360, 7)) + [45310]
+    ahead, back = DT.WORKDAY(num("d"), 25, holidays).value, DT.WORKDAY(num("d"), -3, [45289, 45288]).value
+
+    def plain(day, n, off):
+        step, left = (1, n) if n > 0 else (-1, -n)
+        while left:
+            day += step
+            left -= (day - 2) % 7 < 5 and day not in off
+        return float(day)
+
+    for r in rows.select("d", ahead.alias("a"), back.alias("b")).collect():
+        assert r["a"] == plain(int(r["d"]), 25, holidays) and r["b"] == plain(int(r["d"]), -3, [45289, 45288])
+
+
+def test_r1c1_back():
+    assert Range.of_r1c1("R2C3:R1C1").a1() == "A1:C2" and Range.of_r1c1(Range.of("B7").r1c1()).a1() == "B7"
