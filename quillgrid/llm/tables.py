@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,12 +24,16 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one is set only where none is (as in local tests)."""
+    """The folder named by spark.checkpoint.dir; where none is, a temporary one on a local master (as in tests) and an
+    error elsewhere, as executors would not see the driver's folders."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillgrid-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()
@@ -42,7 +47,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/quillgrid/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+#: Paths of the tables that `stage` returned.
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `stage` returned: only once everything that reads them is written itself."""
+    for df in tables:
+        held, path = _PATHS.pop(id(df), (lambda: None, ""))
+        if held() is df:
+            jvm = df.sparkSession.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def parallelism(df: DataFrame) -> int:
