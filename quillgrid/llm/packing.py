@@ -7,6 +7,8 @@ piece by its rank among the pieces of its length; no piece, list of ids or group
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,46 +42,68 @@ class _Ids(dict):
         return found
 
 
-_LOADED: dict[str, _Ids] = {}
+class Encoder:
+    """The ids that a tokenizer file of the `tokenizers` library (byte-level BPE) gives, add_special_tokens=False.
 
+    The file's vocabulary runs in `tiktoken`, which is several times as fast on the many rare words; its added tokens
+    split a text first, as they do in the library. Tests compare the ids with the library's.
+    """
 
-def _ids(ranks_path: str) -> _Ids:
-    if ranks_path not in _LOADED:
-        import base64
-
+    def __init__(self, path: str) -> None:
         import public_tokenizers
         import tiktoken
 
-        with open(ranks_path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        with open(path, encoding="utf-8") as file:
+            known = json.load(file)
+        # The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for code points from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.added = {t["content"]: t["id"] for t in known["added_tokens"]}
+        ranks = {bytes(map(byte.__getitem__, piece)): i for piece, i in known["model"]["vocab"].items() if piece not in self.added}
         core = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _LOADED[ranks_path] = _Ids(core.encode_ordinary)
-    return _LOADED[ranks_path]
+        self.chunks = _Ids(core.encode_ordinary)
+        # Of added tokens at one place the longest is taken.
+        self.splits = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+
+    def token_bytes(self, text: str) -> bytes:
+        """The ids of a text as little-endian 32-bit bytes."""
+        if self.splits is None or not self.splits.search(text):
+            return self._plain(text)
+        parts = self.splits.split(text)
+        return b"".join(int(self.added[x]).to_bytes(4, "little") if k % 2 else self._plain(x) for k, x in enumerate(parts))
+
+    def _plain(self, text: str) -> bytes:
+        if not text:
+            return b""
+        encode, chunks = self.chunks.encode, text.split(" ")
+        first = np.array(encode(chunks[0]), dtype="<u4").tobytes() if chunks[0] else b""
+        if len(chunks) == 1:
+            return first
+        if not all(chunks) or any(x[0].isspace() for x in chunks[1:]):  # runs of white space cross chunks
+            return np.array(encode(text), dtype="<u4").tobytes()
+        return first + b"".join(map(self.chunks.__getitem__, chunks[1:]))
+
+
+_LOADED: dict[str, Encoder] = {}
 
 
-def token_bytes(text: str, ids: _Ids) -> bytes:
-    """The ids of a text as little-endian 32-bit bytes."""
-    if not text:
-        return b""
-    chunks = text.split(" ")
-    first = np.array(ids.encode(chunks[0]), dtype="<u4").tobytes() if chunks[0] else b""
-    if len(chunks) == 1:
-        return first
-    if not all(chunks) or any(x[0].isspace() for x in chunks[1:]):  # runs of white space cross chunks
-        return np.array(ids.encode(text), dtype="<u4").tobytes()
-    return first + b"".join(map(ids.__getitem__, chunks[1:]))
+def encoder(path: str) -> Encoder:
+    """The Encoder of a file, one in each worker."""
+    if path not in _LOADED:
+        _LOADED[path] = Encoder(path)
+    return _LOADED[path]
 
 
-def cut(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text") -> DataFrame:
+def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text") -> DataFrame:
     """The pieces of every document (columns as in PIECES): its ids and end_id; longer ones are cut into pieces of
     `capacity`, the first one taking the remainder. Null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = _ids(ranks_path), int(end_id).to_bytes(4, "little")
+        ids, end = encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = token_bytes(body.as_py() or "", ids) + end
+                data = ids.token_bytes(body.as_py() or "") + end
                 n = len(data) // 4
                 at, piece = 0, 0
                 while at < n:
@@ -208,7 +232,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def best_fit(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY) -> DataFrame:
+def best_fit(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """Tokenise, cut and pack every row of docs. An empty table gives an empty result; repeated rows are packed as
     often as they occur; null or empty text is one piece that holds the end id alone."""
-    return pack(stage(cut(docs, ranks_path, capacity), "pieces"), capacity)
+    return pack(stage(cut(docs, tokenizer_path, capacity), "pieces"), capacity)
