@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and terms that reveal the protected values by corpus co-occurrence.
 
-A term close to a protected value discloses it if knowing the term tells most of what the value tells: with
-IC(e) = log2(N / N(e)) and PMI(e; t) = IC(e) + log2(N(t, e) / N(t)), the disclosure is PMI / IC, 1 if the term never
-occurs without the value. All counts are of different texts over the whole corpus, so copies do not count twice.
+A term discloses a protected value e of its text if knowing the term tells most of what the value tells. With
+IC(e) = log2(N / N(e)) and PMI(e; t) = IC(e) + log2(N(t, e) / (N(t) + PRIOR)), the disclosure is PMI / IC: near 1 if the
+term hardly occurs without the value, lower by the smoothing the fewer texts show it. All counts are of different texts
+over the whole corpus, so copies do not count twice, and a term meets a value wherever in a text the two stand.
 """
 
 from __future__ import annotations
@@ -12,21 +13,21 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm.tables import bounded_batches, stage
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of a protected value that are looked at as terms.
-WINDOW = 8
-#: Different texts in which term and value must meet for an estimate.
-SUPPORT = 3
+#: Texts without the value that a term is taken to have occurred in besides the counted ones.
+PRIOR = 1.0
 #: Disclosure from which a term is generalised, and from which it is removed.
-GENERALISE, REMOVE = 0.8, 0.95
-#: Terms that are broadcast at most; more are joined by a shuffle.
-BROADCAST_TERMS = 50_000
+GENERALISE, REMOVE = 0.9, 0.97
+#: The most frequent terms are dropped before any join if they are too frequent to disclose anything: at most so many.
+COMMON_TERMS = 20_000
 _TRIM = ".,;:!?()[]\"'"
+#: White space with the punctuation around it: splitting there trims the words as well.
+_BETWEEN = r"""[.,;:!?()\[\]"']*[\x20\x09-\x0D]+[.,;:!?()\[\]"']*"""
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
@@ -34,9 +35,10 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TERM = "struct<entity:long,term:string,start:int,stop:int>"
-_BASE = f"doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<long>, terms array<{_TERM}>"
-_TERM_TYPE = pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
+_ASSIGNED = re.compile(r"[=:][\x20\x09]*[\"']?([A-Za-z0-9_+/=.-]{16,})")
+_CREDENTIALS = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "access-key", "accesskey")
+_WORD_TYPE = pa.struct([("word", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
+_BASE = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, n_secret long, base_sha256 string, base string, secrets string, entities array<long>, words array<struct<word:string,start:int,stop:int>>"
 
 
 def _luhn(digits: str) -> bool:
@@ -88,42 +90,53 @@ def _entity(kind: str, value: str) -> int:
     return int.from_bytes(sha256(f"{kind}:{plain}".encode()).digest()[:8], "little", signed=True)
 
 
-def _context(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[int], list[dict]]:
-    """The values of the spans, and the terms around each."""
-    entities, terms, seen = [], [], set()
-    for kind, start, stop in spans:
-        entity = _entity(kind, text[start:stop])
-        entities.append(entity)
-        # Words of ordinary length need no more room than this on each side; the window is counted in words.
-        low, high = max(0, start - 64 * WINDOW), min(len(text), stop + 64 * WINDOW)
-        before = [m.span() for m in _WORD.finditer(text, low, start)][-WINDOW:]
-        after = [m.span() for m in _WORD.finditer(text, stop, high)][:WINDOW]
-        for a, b in before + after:
-            word = text[a:b]
-            bare = word.strip(_TRIM)
+def secret_spans(text: str) -> list[tuple[str, int, int]]:
+    """(secret, start, stop) of credentials written as name = value, of 16 characters or more."""
+    out = []
+    for m in _ASSIGNED.finditer(text):
+        end = m.start()
+        while end and text[end - 1] in " \t":
+            end -= 1
+        if text[max(0, end - 16) : end].lower().endswith(_CREDENTIALS):
+            out.append(("secret", *m.span(1)))
+    return out
+
+
+def _words(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
+    """The words of a text that touch none of the spans, without punctuation around them, with their places."""
+    taken = sorted((a, b) for _, a, b in spans)
+    out, k, reach = [], 0, -1
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while k < len(taken) and taken[k][0] < b:
+            reach = max(reach, taken[k][1])
+            k += 1
+        if a < reach:
+            continue
+        word = m[0]
+        bare = word.strip(_TRIM)
+        if bare:
             a += len(word) - len(word.lstrip(_TRIM))
-            b = a + len(bare)
-            if bare and (entity, a) not in seen and not any(a < y and x < b for _, x, y in spans):
-                seen.add((entity, a))
-                terms.append({"entity": entity, "term": bare.lower(), "start": a, "stop": b})
-    return entities, terms
+            out.append({"word": bare, "start": a, "stop": a + len(bare)})
+    return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: tuple[list, ...] = tuple([] for _ in range(8))
+        out: tuple[list, ...] = tuple([] for _ in range(10))
         for value in batch.column(2):
             text = value.as_py() or ""
-            spans = base_spans(text)
-            entities, terms = _context(text, spans) if spans else ([], [])
-            joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+            spans, secrets = base_spans(text), secret_spans(text)
+            entities = list({_entity(k, text[a:b]) for k, a, b in spans + secrets})
+            joined, more = (",".join(f"{k}:{a}:{b}" for k, a, b in x) for x in (spans, secrets))
             counts = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
-            for column, x in zip(out, (*counts, sha256(joined.encode()).hexdigest(), joined, entities, terms), strict=True):
+            words = _words(text, spans + secrets) if entities else []
+            for column, x in zip(out, (*counts, len(secrets), sha256(joined.encode()).hexdigest(), joined, more, entities, words), strict=True):
                 column.append(x)
-        kinds = (*[pa.int64()] * 4, pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(_TERM_TYPE))
+        kinds = (*[pa.int64()] * 5, pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(_WORD_TYPE))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]],
-            names=["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "terms"],
+            names=[x.split()[0] for x in _BASE.split(", ")],
         )
 
 
@@ -133,60 +146,90 @@ def _plain(docs: DataFrame, text: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per row the base spans, the protected values and the terms around them (written to the shared folder)."""
+    """Per row the base spans, the protected values and, if there are any, all words (written to the shared folder)."""
     return stage(_plain(docs, text).mapInArrow(_scan, _BASE), "pii-base")
 
 
+def term_counts(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n_term): the number of different texts that a word is in, for all words of the corpus; term is a hash of
+    the lower-cased word. A text with n copies counts 1/n in each, so every task sums up before anything is shuffled."""
+    copies = stage(found.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1"), "pii-copies")
+    weighted = _plain(docs, text).select("text_key", "text").join(copies, "text_key", "left")
+    bare = F.array_distinct(F.split(F.concat(F.lit(" "), F.lower("text"), F.lit(" ")), _BETWEEN))
+    said = weighted.select((F.lit(1.0) / F.coalesce("n", F.lit(1))).alias("weight"), F.explode(bare).alias("word")).where("word <> ''")
+    counted = said.groupBy(F.xxhash64("word").alias("term")).agg(F.round(F.sum("weight")).cast("long").alias("n_term"))
+    return stage(counted, "pii-terms")
+
+
+def disclosure(total: float, n_entity: Column, n_both: Column, n_term: Column) -> Column:
+    """Share of a value's information content that a term gives away; 0 where the value tells nothing."""
+    content = F.log2(F.lit(float(total)) / n_entity)
+    share = F.log2(n_both / (n_term + F.lit(PRIOR)))
+    return F.when(content > 0, F.greatest(F.lit(0.0), (content + share) / content)).otherwise(F.lit(0.0))
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """(entity, term, disclosure) of at least GENERALISE, over the whole corpus; found is scan(docs)."""
-    met = found.select("text_key", F.explode("terms").alias("t")).select("text_key", "t.entity", "t.term").distinct()
-    pairs = stage(met.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT), "pii-pairs")
-    terms = stage(pairs.select("term").distinct(), "pii-terms")
-    known = terms.count()
-    wanted = F.broadcast(terms) if known <= BROADCAST_TERMS else terms
-    if known:
-        words = _plain(docs, text).select("text_key", F.explode(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+"))).alias("word"))
-        said = words.select("text_key", F.lower(F.trim(F.col("word"), F.lit(_TRIM))).alias("term")).join(wanted, "term").distinct()
-    else:
-        said = terms.select("term", F.lit(0).cast("long").alias("text_key"))
-    n_term = said.groupBy("term").agg(F.count("*").alias("n_term"))
-    n_entity = found.select("text_key", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = max(2, found.select("text_key").distinct().count()) if known else 2
-    content = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    share = F.log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")))
-    ratio = F.when(content > 0, (content + share) / content).otherwise(F.lit(0.0))
-    scored = pairs.join(n_term, "term").join(n_entity, "entity").select("entity", "term", ratio.alias("disclosure"))
-    return scored.where(F.col("disclosure") >= GENERALISE)
+    """(doc_id, text_key, start, stop, disclosure): the words of at least GENERALISE in texts with a protected value,
+    by the value that each discloses most; found is scan(docs)."""
+    valued = found.where(F.size("entities") > 0)
+    met = stage(valued.select("text_key", F.explode("entities").alias("entity")).distinct(), "pii-values")
+    n_entity = stage(met.groupBy("entity").agg(F.count("*").alias("n_entity")), "pii-value-counts")
+    most = n_entity.agg(F.max("n_entity").alias("n")).first()["n"]
+    empty = "doc_id long, text_key long, start int, stop int, disclosure double"
+    if not most:
+        return docs.sparkSession.createDataFrame([], empty)
+    total = max(2, found.select("text_key").distinct().count())
+    counts = term_counts(docs, found, text)
+    # A term of more texts cannot reach GENERALISE for any value: n_both is at most the value's own count.
+    limit = most**GENERALISE * total ** (1 - GENERALISE) - PRIOR
+    common = counts.where(F.col("n_term") > limit).orderBy(F.desc("n_term"), "term").limit(COMMON_TERMS).select("term")
+    spoken = valued.select("doc_id", "text_key", F.explode("words").alias("w"))
+    spoken = spoken.select("doc_id", "text_key", F.xxhash64(F.lower("w.word")).alias("term"), "w.start", "w.stop")
+    spoken = stage(spoken.join(F.broadcast(common), "term", "left_anti"), "pii-words")  # at most COMMON_TERMS rows
+    rare = counts.where(F.col("n_term") <= limit)
+    said = stage(spoken.select("text_key", "term").distinct().join(rare, "term"), "pii-said")
+    sized = met.join(n_entity, "entity")
+    # Of a value in one text only, every term of the text has n_both = 1: no pairs are needed.
+    lone = sized.where("n_entity = 1").select("text_key").distinct()
+    once = said.join(lone, "text_key").select("text_key", "term", disclosure(total, F.lit(1), F.lit(1), F.col("n_term")).alias("disclosure"))
+    shared = sized.where("n_entity > 1").join(said, "text_key")
+    reach = F.pow("n_entity", F.lit(GENERALISE)) * F.pow(F.lit(float(total)), F.lit(1 - GENERALISE)) - PRIOR
+    pairs = stage(shared.where(F.col("n_term") <= reach + 1e-6).select("text_key", "entity", "term", "n_entity", "n_term"), "pii-pairs")
+    both = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both"))
+    rules = both.select("entity", "term", disclosure(total, F.col("n_entity"), F.col("n_both"), F.col("n_term")).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    told = once.where(F.col("disclosure") >= GENERALISE).unionByName(pairs.join(rules, ["entity", "term"]).select("text_key", "term", "disclosure"))
+    scores = stage(told.groupBy("text_key", "term").agg(F.max("disclosure").alias("disclosure")), "pii-scores")
+    return spoken.join(scores, ["text_key", "term"]).select("doc_id", "text_key", "start", "stop", "disclosure")
 
 
 def _term_spans(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     """(id, key, extra): spans of disclosing terms by row; `id` and `key` are doc_id and text_key."""
-    rules = stage(disclosing_terms(docs, found, text), "pii-rules")
-    said = found.select("doc_id", "text_key", F.explode("terms").alias("t")).select("doc_id", "text_key", "t.*")
-    each = said.join(rules, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "stop").agg(F.max("disclosure").alias("disclosure"))
+    each = disclosing_terms(docs, found, text).distinct()
     grouped = each.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "disclosure"))).alias("extra"))
     return stage(grouped.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "extra"), "pii-spans")
 
 
 def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
+    """One row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_term, n_found.
 
     spans holds kind:start:stop (code points, stop exclusive) of the four patterns by kind, then start, and after them
-    those of disclosing terms (kind `term`). Null text is empty; rows with null or repeated doc_id are kept.
+    those of credentials (kind `secret`) and of disclosing terms (kind `term`); n_found is the number of all but the
+    terms. Null text is empty; rows with null or repeated doc_id are kept.
     """
     found = scan(docs, text)
     extra = _term_spans(docs, found, text)
     joined = found.join(extra, found["doc_id"].eqNullSafe(extra["id"]) & (found["text_key"] == extra["key"]), "left")
     more = F.array_join(F.transform("extra", lambda s: F.concat(F.lit("term:"), s["start"].cast("string"), F.lit(":"), s["stop"].cast("string"))), ",")
-    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("extra").isNotNull(), more))
-    n_term = F.coalesce(F.size("extra"), F.lit(0)).cast("long")
-    return joined.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), F.greatest(n_term, F.lit(0)).alias("n_term"))
+    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("secrets") != "", F.col("secrets")), F.when(F.col("extra").isNotNull(), more))
+    n_term = F.greatest(F.coalesce(F.size("extra"), F.lit(0)).cast("long"), F.lit(0))
+    n_found = F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + F.col("n_secret")
+    return joined.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), "n_secret", n_term.alias("n_term"), n_found.alias("n_found"))
 
 
 def redact(text: str, extra: list[dict] | None) -> str:
-    """text with every base span replaced by its kind in angle brackets, disclosing terms of at least REMOVE removed
+    """text with every base span and credential replaced by its kind in angle brackets, disclosing terms of at least REMOVE removed
     and weaker ones generalised to <number>, <name> or <word>. Of overlapping spans the first, longest is used."""
-    marks = [(a, b, f"<{k}>") for k, a, b in base_spans(text)]
+    marks = [(a, b, f"<{k}>") for k, a, b in base_spans(text) + secret_spans(text)]
     for s in extra or []:
         word = text[s["start"] : s["stop"]]
         general = "<number>" if word[:1].isdigit() else "<name>" if word[:1].isupper() else "<word>"
