@@ -27,22 +27,25 @@ _CHUNK = 1 << 18
 
 
 def _letter_table() -> np.ndarray:
-    """Lower-case letter code by BMP code point, 0 for what is no letter (marks within words count as letters)."""
+    """Lower-case code of letters and marks by BMP code point, 0 for what is neither."""
     out = np.zeros(0x10000, dtype=np.uint32)
     for code in range(0x10000):
         c = chr(code)
         if unicodedata.category(c)[0] in "LM":
+            _MARK[code] = unicodedata.category(c)[0] == "M"
             low = c.lower()
             out[code] = ord(low) if len(low) == 1 else code
     return out
 
 
 _TABLE: list[np.ndarray] = []
+_MARK = np.zeros(0x10000, dtype=bool)
 
 
 def letters(text: str) -> np.ndarray:
-    """Lower-cased letters as code points with a 0 at each edge and for each run of other characters. Letters beyond
-    the basic plane count as they are."""
+    """Lower-cased letters as code points with a 0 at each edge and for each run of other characters. Marks
+    (category M) go on a word that a letter began and are no letters otherwise. Letters beyond the basic plane count as
+    they are."""
     if not _TABLE:
         _TABLE.append(_letter_table())
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -50,6 +53,11 @@ def letters(text: str) -> np.ndarray:
     got = _TABLE[0][np.where(high, 0, codes)]
     if high.any():
         got[high] = [c if unicodedata.category(chr(c))[0] == "L" else 0 for c in codes[high].tolist()]
+    mark = _MARK[np.where(high, 0, codes)] & ~high
+    if mark.any():
+        place = np.arange(len(got))
+        letter, gap = (np.maximum.accumulate(np.where(x, place, -1)) for x in ((got > 0) & ~mark, got == 0))
+        got[mark & (letter < gap) | mark & (letter < 0)] = 0
     got = np.concatenate(([0], got, [0])).astype(np.uint64)
     keep = np.ones(len(got), dtype=bool)
     keep[1:] = (got[1:] > 0) | (got[:-1] > 0)
