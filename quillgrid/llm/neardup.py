@@ -24,8 +24,9 @@ from quillgrid.llm.tables import bounded_batches, release, stage
 #: Short keys in each of the two collections, and minhashes in a short key. At a similarity of 0.85 a pair shares no
 #: table with a probability of about 3e-4; at 0.9, of about 1e-6.
 TABLES_PER_SIDE, ROWS = 12, 4
-#: Members of a block: a family of no more is one group, and two blocks of a larger one are.
-BLOCK = 64
+#: Members of a block: a family of no more is one group, and two blocks of a larger one are. A block has as many members
+#: as hold BLOCK_ITEMS shingles (16 MB in a group of two), within these bounds.
+LEAST_BLOCK, MOST_BLOCK, BLOCK_ITEMS = 64, 1024, 1 << 20
 #: Heads that a member of a large family is first compared with.
 HEADS = 2
 _SEEDS = wordhash.mix(np.arange(1, 2 * TABLES_PER_SIDE * ROWS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
@@ -209,49 +210,50 @@ def candidate_families(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     return families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), heads, tables.select("key", "doc_id")
 
 
-def _by_heads(asked: DataFrame, block: int) -> DataFrame:
-    """asked (doc_id, family, head) -> (doc_id, *_GROUP, side): every member beside its heads, each head's members in blocks."""
-    dealt = stage(asked.groupBy("family", "head").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "heads")
+def _by_heads(asked: DataFrame) -> DataFrame:
+    """asked (doc_id, family, head, block) -> (doc_id, *_GROUP, side): every member beside its heads, each head's members in blocks."""
+    dealt = stage(asked.groupBy("family", "head").agg(F.ceil(F.count("*") / F.first("block")).cast("int").alias("blocks")), "heads")
     named = F.col("head").cast("string")
     points = asked.join(dealt, ["family", "head"]).select("doc_id", "family", "head", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("low"), F.lit(1).alias("side"))
     centres = dealt.select(F.col("head").alias("doc_id"), "family", "head", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("low"), F.lit(0).alias("side"))
     return points.unionByName(centres).select("doc_id", F.col("family").cast("string").alias("family"), named.alias("one"), named.alias("two"), "low", F.lit(-1).alias("high"), "side")
 
 
-def _scopes(named: DataFrame, tables: DataFrame | None, block: int) -> DataFrame:
-    """named (doc_id, family, component), of the families beyond one block -> (doc_id, family, component) where `family`
-    names a group whose unlinked pairs are still to be compared.
+def _scopes(named: DataFrame, tables: DataFrame | None) -> DataFrame:
+    """named (doc_id, family, component, block), of the families beyond one block -> the same, where `family` names a group
+    whose unlinked pairs are still to be compared.
 
     A group is a family or a table of it. Tables that are linked up already need nothing more, and of tables of the same
     members one is enough. A family is compared table by table where that moves fewer sets than the whole of it would,
     as in a long chain of chance candidates: so the sets moved never exceed the members of the tables.
     """
-    whole = named.select("doc_id", F.concat(F.lit("f"), F.col("family")).alias("family"), "component")
+    whole = named.select("doc_id", F.concat(F.lit("f"), F.col("family")).alias("family"), "component", "block")
     if tables is None:
         return whole
-    held = stage(tables.join(named, "doc_id").select("key", "doc_id", "family", "component"), "large-tables")
+    held = stage(tables.join(named, "doc_id").select("key", "doc_id", "family", "component", "block"), "large-tables")
     one, two = F.bit_xor(F.xxhash64("doc_id")), F.bit_xor(F.xxhash64("doc_id", F.lit(1)))
-    per = held.groupBy("key").agg(F.count("*").alias("n"), F.min("family").alias("family"), F.min("component").alias("a"), F.max("component").alias("b"), one.alias("x"), two.alias("y"))
-    open_tables = stage(per.where("a < b").groupBy("family", "n", "x", "y").agg(F.min("key").alias("key")), "open-tables")
-    by_table = open_tables.groupBy("family").agg(F.sum(F.col("n") * F.ceil(F.col("n") / block)).alias("of_tables"))
-    by_whole = named.groupBy("family").agg((F.count("*") * F.ceil(F.count("*") / block)).alias("of_whole"))
+    per = held.groupBy("key").agg(F.count("*").alias("n"), F.min("family").alias("family"), F.min("block").alias("block"), F.min("component").alias("a"), F.max("component").alias("b"), one.alias("x"), two.alias("y"))
+    open_tables = stage(per.where("a < b").groupBy("family", "block", "n", "x", "y").agg(F.min("key").alias("key")), "open-tables")
+    by_table = open_tables.groupBy("family").agg(F.sum(F.col("n") * F.ceil(F.col("n") / F.col("block"))).alias("of_tables"))
+    by_whole = named.groupBy("family").agg((F.count("*") * F.ceil(F.count("*") / F.first("block"))).alias("of_whole"))
     chosen = stage(by_table.join(by_whole, "family").select("family", (F.col("of_tables") < F.col("of_whole")).alias("split")), "choices")
     in_tables = held.join(open_tables.select("key"), "key").join(chosen.where("split").select("family"), "family")
-    in_whole = named.join(chosen.where("NOT split").select("family"), "family").select("doc_id", F.concat(F.lit("f"), F.col("family")).alias("family"), "component")
-    return in_tables.select("doc_id", F.concat(F.lit("t"), F.col("key")).alias("family"), "component").unionByName(in_whole)
+    in_whole = named.join(chosen.where("NOT split").select("family"), "family").select("doc_id", F.concat(F.lit("f"), F.col("family")).alias("family"), "component", "block")
+    return in_tables.select("doc_id", F.concat(F.lit("t"), F.col("key")).alias("family"), "component", "block").unionByName(in_whole)
 
 
-def _between(named: DataFrame, block: int) -> DataFrame:
-    """named (doc_id, family, component) -> (doc_id, *_GROUP, side): all pairs of a family that are not in one component.
+def _between(named: DataFrame) -> DataFrame:
+    """named (doc_id, family, component, block) -> (doc_id, *_GROUP, side): all pairs of a family that are not in one
+    component.
 
-    A component of more than `block` members is a unit dealt into blocks of its own, the others form a unit of mixed
+    A component of more than a block's members is a unit dealt into blocks of its own, the others form a unit of mixed
     blocks. Blocks of two units meet, and mixed blocks each other; blocks of one component never do, so a large group
     of linked copies costs its size times the few blocks that are not linked with it.
     """
-    pure = named.groupBy("family", "component").agg(F.count("*").alias("n")).where(F.col("n") > block).select("family", "component", F.lit(True).alias("pure"))
+    pure = named.groupBy("family", "component").agg(F.count("*").alias("n"), F.first("block").alias("block")).where("n > block").select("family", "component", F.lit(True).alias("pure"))
     unit = F.when(F.col("pure"), F.col("component").cast("string")).otherwise(F.lit("mixed"))
-    placed = stage(named.join(stage(pure, "linked-units"), ["family", "component"], "left").select("doc_id", "family", unit.alias("unit")), "unit-members")
-    units = stage(placed.groupBy("family", "unit").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "units")
+    placed = stage(named.join(stage(pure, "linked-units"), ["family", "component"], "left").select("doc_id", "family", "block", unit.alias("unit")), "unit-members")
+    units = stage(placed.groupBy("family", "unit").agg(F.ceil(F.count("*") / F.first("block")).cast("int").alias("blocks")), "units")
     one = units.select("family", F.col("unit").alias("one"), F.col("blocks").alias("of_one"))
     two = units.select("family", F.col("unit").alias("two"), F.col("blocks").alias("of_two"))
     met = one.join(two, "family").where("one < two OR (one = two AND one = 'mixed')")
@@ -266,34 +268,36 @@ def _between(named: DataFrame, block: int) -> DataFrame:
     return copied.select("doc_id", "family", "one", "two", low.alias("low"), high.alias("high"), side.alias("side"))
 
 
-def confirmed_components(members: DataFrame, sets: DataFrame, families: DataFrame, heads: DataFrame, threshold: int, tables: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def confirmed_components(members: DataFrame, sets: DataFrame, families: DataFrame, heads: DataFrame, threshold: int, tables: DataFrame | None = None) -> DataFrame:
     """members (doc_id, family, large, items), sets (doc_id, items) of those in large families, families (doc_id, family,
-    large), heads (doc_id, family, head) and tables (key, doc_id) -> (doc_id, component) over the confirmed links.
+    large, block), heads (doc_id, family, head) and tables (key, doc_id) -> (doc_id, component) over the confirmed links.
 
-    All members of a family of at most `block` (large is false) are compared with each other in one group, so its sets
+    All members of a family of at most a block (large is false) are compared with each other in one group, so its sets
     move once. Those of a larger one are first compared with their heads; then only pairs that are not yet in one
     component are (see _scopes). The components are those of comparing all pairs that share a table, and more.
     """
     placed = (F.lit("").alias("one"), F.lit("").alias("two"), F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(-1).alias("side"))
     whole = members.where("NOT large").select("doc_id", F.col("family").cast("string").alias("family"), *placed, "items")
     links = _links(whole, threshold)
-    large = stage(families.where("large").select("doc_id", "family"), "large-members")
+    large = stage(families.where("large").select("doc_id", "family", "block"), "large-members")
     if large.isEmpty():
         return connected_components(links).select(F.col("node").alias("doc_id"), "component")
-    asked = stage(heads.join(large, ["doc_id", "family"]).select("doc_id", "family", "head"), "asked-heads")
-    by_heads = _by_heads(asked, block).join(sets, "doc_id").select("doc_id", *_GROUP, "side", "items")
+    asked = stage(heads.join(large, ["doc_id", "family"]).select("doc_id", "family", "head", "block"), "asked-heads")
+    by_heads = _by_heads(asked).join(sets, "doc_id").select("doc_id", *_GROUP, "side", "items")
     found = connected_components(links.unionByName(_links(by_heads, threshold)))
-    named = stage(large.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "family", F.coalesce("component", "doc_id").alias("component")), "named")
-    rest = _between(_scopes(named, tables, block), block).join(sets, "doc_id").select("doc_id", *_GROUP, "side", "items")
+    named = stage(large.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "family", F.coalesce("component", "doc_id").alias("component"), "block"), "named")
+    rest = _between(_scopes(named, tables)).join(sets, "doc_id").select("doc_id", *_GROUP, "side", "items")
     more = _links(rest, threshold)
     known = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
     return connected_components(known.unionByName(more)).select(F.col("node").alias("doc_id"), "component")
 
 
-def sized(families: DataFrame, block: int = BLOCK) -> DataFrame:
-    """families (doc_id, family) with `large`: whether the family has more than `block` members."""
-    sizes = families.groupBy("family").agg((F.count("*") > block).alias("large"))
-    return stage(families.join(sizes, "family").select("doc_id", "family", "large"), "families")
+def sized(families: DataFrame) -> DataFrame:
+    """families (doc_id, family, n_items) -> (doc_id, family, large, block): the members of the family's blocks, and
+    whether it has more than one block."""
+    block = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(MOST_BLOCK), F.floor(F.lit(BLOCK_ITEMS) / F.max("n_items")))).cast("int")
+    sizes = families.groupBy("family").agg(F.count("*").alias("n"), block.alias("block"))
+    return stage(families.join(sizes, "family").select("doc_id", "family", (F.col("n") > F.col("block")).alias("large"), "block"), "families")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80, text: str = "text") -> DataFrame:
@@ -308,9 +312,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, text: str = "text") ->
     docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     seen = stage(sketches(docs), "sketches")
     usable = seen.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    reps = stage(usable.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "sets")
+    reps = stage(usable.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_items")), "sets")
     found, heads, tables = candidate_families(reps)
-    families = sized(found)
+    families = sized(found.join(reps.select("doc_id", "n_items"), "doc_id"))
     heads = heads.join(families, "doc_id").select("doc_id", "family", "head")
     members = stage(docs.join(families, "doc_id").select("doc_id", "family", "large", "text").mapInArrow(_sets, "doc_id long, family long, large boolean, items array<long>"), "members")
     components = confirmed_components(members, members.where("large").select("doc_id", "items"), families, heads, threshold, tables)
