@@ -34,10 +34,16 @@ def shingles(ws: Column) -> Column:
     return F.when(F.size(ws) >= SHINGLE, F.array_distinct(runs)).when(F.size(ws) > 0, F.array(F.array_join(ws, " "))).otherwise(F.array().cast("array<string>"))
 
 
-def shingle_hashes(ws: Column) -> Column:
-    """xxhash64 of each shingle's joined words, in order, repeats included."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(ws) - SHINGLE + 1), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, SHINGLE), " ")))
-    return F.when(F.size(ws) >= SHINGLE, runs).when(F.size(ws) > 0, F.array(F.xxhash64(F.array_join(ws, " ")))).otherwise(F.array().cast("array<bigint>"))
+def word_hashes(ws: Column) -> Column:
+    """xxhash64 of each word."""
+    return F.transform(ws, lambda w: F.xxhash64(w))
+
+
+def shingle_hashes(hs: Column) -> Column:
+    """A hash of each run of five words, in order, repeats included, from a column of the words' hashes: so no run is put
+    together as text."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(hs) - SHINGLE), lambda i: F.xxhash64(*[F.get(hs, i + k) for k in range(SHINGLE)]))
+    return F.when(F.size(hs) >= SHINGLE, runs).when(F.size(hs) > 0, F.array(F.xxhash64(hs))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -49,7 +55,8 @@ def item_shingles(benchmark: DataFrame) -> DataFrame:
     each = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.explode(shingles(words(F.col("text")))).alias("shingle"))
     each = each.distinct()
     sizes = each.groupBy("item_id").agg(F.count("*").alias("n_item"))
-    return each.join(sizes, "item_id").select("item_id", "n_item", F.xxhash64("shingle").alias("hash"), "shingle")
+    hashed = each.join(sizes, "item_id").withColumn("hs", word_hashes(F.split("shingle", " ")))
+    return hashed.select("item_id", "n_item", F.get(shingle_hashes(F.col("hs")), 0).alias("hash"), "shingle")
 
 
 def sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -67,11 +74,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, containment: float = C
     document of just those words. Items and documents without words match nothing, and rows without doc_id or item_id
     are left out. Rows of one doc_id (or item_id) count as one document (item).
     """
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("ws"))
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(words(F.col("text"))).alias("hs"))
     items = stage(item_shingles(benchmark), "items")
     marks = stage(sketches(items, containment), "item-sketches")
     n_items, n_marks = items.count(), marks.count()
-    each = rows.where(F.size("ws") > 0).select("doc_id", F.explode(shingle_hashes(F.col("ws"))).alias("hash"))
+    each = rows.select("doc_id", F.explode(shingle_hashes(F.col("hs"))).alias("hash"))
     hits = each.join(_small(marks, n_marks), "hash").select("doc_id", "item_id").distinct()
     candidates = stage(hits, "candidates")
     # Exact: the candidates' texts are cut again, and shingles are compared by their words.
