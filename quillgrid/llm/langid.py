@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quillgrid.llm.tables import bounded_batches, stage
+from quillgrid.llm.tables import bounded_batches
 
 #: n-grams of 1 to N_MAX letters; entries of a language's profile and of a document's; training texts a language.
 N_MAX = 3
@@ -146,11 +146,10 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> dict[str, np.ndarr
     if not sizes:
         return {}
     grams = picked.repartition(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(_train, "lang string, gram long, n long")
-    summed = stage(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "profiles")
-    out = {}
-    for lang in sorted(sizes):
-        best = summed.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(PROFILE).collect()
-        out[lang] = np.array([r["gram"] for r in best], dtype=np.int64).view(np.uint64)
+    summed = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    best = summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE).orderBy("lang", "rank").collect()  # PROFILE rows a language
+    out = {lang: np.array([r["gram"] for r in best if r["lang"] == lang], dtype=np.int64).view(np.uint64) for lang in sorted(sizes)}
     return {k: v for k, v in out.items() if len(v)}
 
 
