@@ -25,8 +25,8 @@ def test_components_of_a_rising_path(spark, monkeypatch):
 
 
 def test_near_duplicates_of_large_families_by_tables_and_whole(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "sized", lambda families: real(families, 8))
-    monkeypatch.setattr(neardup, "confirmed_components", lambda *a: compare(*a, block=8))
+    monkeypatch.setattr(neardup, "LEAST_BLOCK", 8)
+    monkeypatch.setattr(neardup, "MOST_BLOCK", 8)
     texts = [(i, mutated(prose(7, 150), i, 2 + i % 9)) for i in range(120)]  # many pairs on both sides of the threshold
     chain = prose(8, 120).split()
     for i in range(60):  # neighbours are alike, ends are not
@@ -40,9 +40,6 @@ def test_near_duplicates_of_large_families_by_tables_and_whole(spark, monkeypatc
         assert same >= 0.98 * len(want)
 
 
-real, compare = neardup.sized, neardup.confirmed_components
-
-
 def test_ids_are_the_librarys():
     rng = random.Random(1)
     parts = ["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "\t", "a", "The", "é", "❤️", "x y", "'s", "12", "\u3000", "\xa0", "🎉", "…"]
