@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.operators.rebase import columns_shifted, copied, rows_shifted
+
 COLUMNS = ["sheet", "row", "col", "kind", "num", "txt", "bool", "err", "formula"]
 
 
@@ -68,21 +70,26 @@ def sort_key(kind: Column, num: Column, bool_: Column, txt: Column) -> list[Colu
 
 
 def insert_rows(cells: DataFrame, at: int, n: int) -> DataFrame:
-    return cells.withColumn("row", F.when(F.col("row") >= at, F.col("row") + n).otherwise(F.col("row")))
+    """Cells from row `at` on move down, and references in formulas follow them."""
+    moved = cells.withColumn("row", F.when(F.col("row") >= at, F.col("row") + n).otherwise(F.col("row")))
+    return moved.withColumn("formula", rows_shifted(F.col("formula"), at, n))
 
 
 def delete_rows(cells: DataFrame, at: int, n: int) -> DataFrame:
     left = cells.where((F.col("row") < at) | (F.col("row") >= at + n))
-    return left.withColumn("row", F.when(F.col("row") >= at, F.col("row") - n).otherwise(F.col("row")))
+    moved = left.withColumn("row", F.when(F.col("row") >= at, F.col("row") - n).otherwise(F.col("row")))
+    return moved.withColumn("formula", rows_shifted(F.col("formula"), at, -n))
 
 
 def insert_columns(cells: DataFrame, at: int, n: int) -> DataFrame:
-    return cells.withColumn("col", F.when(F.col("col") >= at, F.col("col") + n).otherwise(F.col("col")))
+    moved = cells.withColumn("col", F.when(F.col("col") >= at, F.col("col") + n).otherwise(F.col("col")))
+    return moved.withColumn("formula", columns_shifted(F.col("formula"), at, n))
 
 
 def delete_columns(cells: DataFrame, at: int, n: int) -> DataFrame:
     left = cells.where((F.col("col") < at) | (F.col("col") >= at + n))
-    return left.withColumn("col", F.when(F.col("col") >= at, F.col("col") - n).otherwise(F.col("col")))
+    moved = left.withColumn("col", F.when(F.col("col") >= at, F.col("col") - n).otherwise(F.col("col")))
+    return moved.withColumn("formula", columns_shifted(F.col("formula"), at, -n))
 
 
 def clear_range(cells: DataFrame, first_row: int, first_col: int, last_row: int, last_col: int) -> DataFrame:
@@ -99,9 +106,11 @@ def upsert(cells: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def copy_range(cells: DataFrame, first_row: int, first_col: int, last_row: int, last_col: int, to_row: int, to_col: int, move: bool = False) -> DataFrame:
-    """cells with a range also (or, moved, only) at another place. Overlaps read the old cells."""
+    """cells with a range also (or, moved, only) at another place. Overlaps read the old cells; relative references in
+    formulas move along."""
     inside = F.col("row").between(first_row, last_row) & F.col("col").between(first_col, last_col)
-    shifted = cells.where(inside).withColumns({"row": F.col("row") + (to_row - first_row), "col": F.col("col") + (to_col - first_col)})
+    down, right = to_row - first_row, to_col - first_col
+    shifted = cells.where(inside).withColumns({"row": F.col("row") + down, "col": F.col("col") + right, "formula": copied(F.col("formula"), down, right)})
     return upsert(cells.where(~inside) if move else cells, shifted)
 
 
@@ -147,6 +156,32 @@ def typed(text: Column) -> list[Column]:
     return [kind.alias("kind"), n.alias("num"), F.when(n.isNull() & b.isNull(), text).alias("txt"), F.when(n.isNull(), b).alias("bool")]
 
 
+def points(cells: DataFrame, first_row: int, first_col: int, last_row: int, last_col: int, sheet: str | None = None) -> DataFrame:
+    """(row, col, number, label) of the cells of a range, as a chart or sparkline reads it: numbers (booleans 1 and 0,
+    NULL for text and errors) and shown texts, in row-major order."""
+    number = F.coalesce(F.col("num"), F.col("bool").cast("double"))
+    return read_range(cells, first_row, first_col, last_row, last_col, sheet).select("row", "col", number.alias("number"), display().alias("label"))
+
+
+def share_of_category(df: DataFrame, category: list[str], value: str, name: str = "share") -> DataFrame:
+    """df with each value's share of the sum of its category, as stacked charts of 100 % show it; NULL if the sum is 0."""
+    sums = df.groupBy(*[F.col(c).alias(f"share {i}") for i, c in enumerate(category)]).agg(F.sum(F.col(value).cast("double")).alias("share sum"))
+    same = [F.col(c).eqNullSafe(F.col(f"share {i}")) for i, c in enumerate(category)]
+    joined = df.join(sums, same)
+    return joined.withColumn(name, F.when(F.col("share sum") != 0, F.col(value) / F.col("share sum"))).drop("share sum", *[f"share {i}" for i in range(len(category))])
+
+
+def cache_records(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with `record`: its fields as a pivot cache keeps them, (kind, value): n numbers, s texts, b booleans, m blanks."""
+    kinds = dict(df.dtypes)
+
+    def field(name: str) -> Column:
+        kind = "s" if kinds[name] in ("string", "date") or kinds[name].startswith("timestamp") else "b" if kinds[name] == "boolean" else "n"
+        return F.struct(F.when(F.col(name).isNull(), "m").otherwise(kind).alias("kind"), F.col(name).cast("string").alias("value"))
+
+    return df.withColumn("record", F.array(*map(field, columns)))
+
+
 def info(cells: DataFrame) -> DataFrame:
     """(sheet, cells, formulas, rows, columns) of each sheet."""
     return cells.groupBy("sheet").agg(F.count("*").alias("cells"), F.count("formula").alias("formulas"), F.max("row").alias("rows"), F.max("col").alias("columns"))

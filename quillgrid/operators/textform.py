@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions.cells import Cell, number_text
@@ -85,6 +85,63 @@ def lint_references(formulas: DataFrame, sheets: DataFrame) -> DataFrame:
     return missing.select("sheet", "row", "col", F.lit("broken_sheet_ref").alias("code")).distinct().unionByName(broken)
 
 
+_AREA = r"^\$?[A-Za-z]{1,3}\$?[1-9]\d*(:\$?[A-Za-z]{1,3}\$?[1-9]\d*)?$"
+
+
+def _target(column: str) -> tuple[Column, Column]:
+    """Sheet and area of `Sheet!A1:B2`."""
+    sheet = F.regexp_extract(column, r"^('(?:[^']|'')+'|[^!']+)!(.*)$", 1)
+    plain = F.when(sheet.startswith("'"), F.replace(F.expr("substring(sheet_raw, 2, length(sheet_raw) - 2)"), F.lit("''"), F.lit("'"))).otherwise(sheet)
+    return plain, F.regexp_extract(column, r"^('(?:[^']|'')+'|[^!']+)!(.*)$", 2)
+
+
+def _with_target(df: DataFrame, column: str, sheets: DataFrame) -> DataFrame:
+    sheet, area = _target(column)
+    raw = df.withColumn("sheet_raw", F.regexp_extract(column, r"^('(?:[^']|'')+'|[^!']+)!(.*)$", 1))
+    named = raw.withColumn("target_sheet", sheet).withColumn("target_area", area)
+    known = sheets.select(F.col("sheet").alias("known_sheet")).distinct()
+    return named.join(known, named["target_sheet"] == known["known_sheet"], "left")
+
+
+def lint_names(names: DataFrame, sheets: DataFrame) -> DataFrame:
+    """(name, code) of defined names (name, target) whose target is no range of a sheet that is there."""
+    found = _with_target(names, "target", sheets)
+    code = F.when(F.col("target_sheet") == "", "named_range_not_a1_range").when(F.col("known_sheet").isNull(), "named_range_missing_sheet")
+    code = code.when(~F.col("target_area").rlike(_AREA), "named_range_invalid_range")
+    return found.select("name", code.alias("code")).where("code IS NOT NULL")
+
+
+def lint_pivots(pivots: DataFrame, fields: DataFrame, sheets: DataFrame, headers: DataFrame) -> DataFrame:
+    """(pivot, field, code) of pivots (pivot, source) whose source is no range of a sheet that is there, and of their
+    fields (pivot, field, role) that are not among the source's headers (sheet, header); role value marks value fields."""
+    found = _with_target(pivots, "source", sheets)
+    code = F.when(F.col("target_sheet") == "", "pivot_source_invalid").when(F.col("known_sheet").isNull(), "pivot_source_missing_sheet")
+    judged = found.withColumn("code", code.when(~F.col("target_area").rlike(_AREA), "pivot_source_range_invalid"))
+    bad = judged.where("code IS NOT NULL").select("pivot", F.lit(None).cast("string").alias("field"), "code")
+    asked = judged.where("code IS NULL").select("pivot", F.col("target_sheet").alias("sheet")).join(fields, "pivot")
+    missing = asked.join(headers.select("sheet", F.col("header").alias("field")).distinct(), ["sheet", "field"], "left_anti")
+    lost = F.when(F.col("role") == "value", "pivot_value_missing_header").otherwise("pivot_field_missing_header")
+    return bad.unionByName(missing.select("pivot", "field", lost.alias("code")))
+
+
+def replace_counted(paragraphs: DataFrame, old: str, new: str, text: str = "text") -> DataFrame:
+    """paragraphs of documents or slides with every occurrence replaced, and `replaced`, their number in each."""
+    plain = F.replace(F.col(text), F.lit(old), F.lit(""))
+    n = F.coalesce((F.length(text) - F.length(plain)) / len(old), F.lit(0)).cast("long")
+    return paragraphs.withColumn("replaced", n).withColumn(text, F.replace(F.col(text), F.lit(old), F.lit(new)))
+
+
+def anchored(items: DataFrame) -> DataFrame:
+    """(path, item, anchor, text) of a document's body (path, item, kind, row, col, text): paragraphs are [p1], [p2], ...
+    and tables [t1], ..., each numbered by itself within its document."""
+    table = F.col("kind") == "cell"
+    each = items.groupBy("path", "item").agg(F.max(table).alias("table"), F.sort_array(F.collect_list(F.struct("row", "col", "text"))).alias("cells"))
+    order = Window.partitionBy("path", "table").orderBy("item")  # the items of one document
+    number = F.row_number().over(order).cast("string")
+    lines = F.array_join(F.transform("cells", lambda c: c["text"]), "\t")
+    return each.select("path", "item", F.concat(F.lit("["), F.when(F.col("table"), "t").otherwise("p"), number, F.lit("]")).alias("anchor"), lines.alias("text"))
+
+
 def lint_cache(df: DataFrame, stored: str, computed: Column, tolerance: float = 1e-9) -> DataFrame:
     """Rows whose stored value differs from the computed one by more than the tolerance."""
     return df.where(F.abs(F.col(stored) - computed) > tolerance)

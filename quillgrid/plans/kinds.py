@@ -15,6 +15,7 @@ from quillgrid.functions.cells import Cell, num, text
 from quillgrid.operators import aggregates as A
 from quillgrid.operators import criteria as C
 from quillgrid.operators import lookup as L
+from quillgrid.operators import rebase as B
 from quillgrid.operators import reshape as R
 from quillgrid.operators import textform as T
 from quillgrid.plans.ranges import r, table
@@ -239,3 +240,17 @@ def guarded_apply(spark, sf_dir):
     known = T.checksum(T.derive_lines(cells)).withColumn("checksum", F.when(F.col("sheet") == "F", F.lit("stale")).otherwise(F.col("checksum")))
     after = T.apply_guarded(cells, cells.withColumn("num", F.lit(-1.0)), known)
     return after.groupBy("sheet").agg(F.count("*").alias("n"), F.sum((F.col("num") == -1).cast("int")).alias("changed"))
+
+
+@query("SELECT o_orderkey, round(1e6 * o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_orderpriority), 4) AS millionths FROM orders")
+def share_stacked(spark, sf_dir):
+    """Each order's share of its priority's total."""
+    return R.share_of_category(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice").select("o_orderkey", r(1e6 * F.col("share"), 4).alias("millionths"))
+
+
+@query("""SELECT o_orderkey, 'B' || (o_orderkey + 3) || '*C$1+LOG10($A' || (o_orderkey + 3) || ')' AS formula, 'A' || (o_orderkey + 1 + 5 * (o_orderkey >= 9)::INT) || '*B$1' AS inserted FROM orders""")
+def formulas_move(spark, sf_dir):
+    """Formulas copied two rows down and a column to the right, and formulas after five rows are inserted at row 10."""
+    row = (F.col("o_orderkey") + 1).cast("string")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("A"), row, F.lit("*B$1+LOG10($A"), row, F.lit(")")).alias("long"), F.concat(F.lit("A"), row, F.lit("*B$1")).alias("short"))
+    return orders.select("o_orderkey", B.copied(F.col("long"), 2, 1).alias("formula"), B.rows_shifted(F.col("short"), 10, 5).alias("inserted"))

@@ -52,6 +52,11 @@ def parts(spark: SparkSession, path: str, glob: str = "*.{xlsx,docx,pptx}") -> D
     return _each(_files(spark, path, glob), "path string, part string, size long", lambda p, z: [(p, i.filename, i.file_size) for i in sorted(z.infolist(), key=lambda i: i.filename)])
 
 
+def part_content(spark: SparkSession, path: str, part: str, glob: str = "*.{xlsx,docx,pptx}") -> DataFrame:
+    """(path, part, content): the bytes of one part of every package that has it."""
+    return _each(_files(spark, path, glob), "path string, part string, content binary", lambda p, z: [(p, part, z.read(part))] if part in z.namelist() else [])
+
+
 def relationships(spark: SparkSession, path: str, glob: str = "*.{xlsx,docx,pptx}") -> DataFrame:
     """(path, source, id, type, target): all relations between parts."""
 
@@ -66,7 +71,7 @@ def relationships(spark: SparkSession, path: str, glob: str = "*.{xlsx,docx,pptx
 
 
 def properties(spark: SparkSession, path: str, glob: str = "*.{xlsx,docx,pptx}") -> DataFrame:
-    """(path, name, value): core and extended properties."""
+    """(path, name, value): core, extended and custom properties."""
 
     def rows(p, z):
         for name in ("docProps/core.xml", "docProps/app.xml"):
@@ -74,6 +79,9 @@ def properties(spark: SparkSession, path: str, glob: str = "*.{xlsx,docx,pptx}")
                 for node in ElementTree.fromstring(z.read(name)):
                     if node.text:
                         yield p, _local(node.tag), node.text
+        if "docProps/custom.xml" in z.namelist():
+            for node in ElementTree.fromstring(z.read("docProps/custom.xml")):
+                yield p, node.get("name"), "".join(node.itertext())
 
     return _each(_files(spark, path, glob), "path string, name string, value string", rows)
 
@@ -149,6 +157,19 @@ def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     return _each(_files(spark, path, "*.docx"), "path string, item long, kind string, row long, col long, text string", rows)
 
 
+def read_comments(spark: SparkSession, path: str) -> DataFrame:
+    """(path, id, author, date, text): the comments of every .docx file."""
+
+    def rows(p, z):
+        if "word/comments.xml" in z.namelist():
+            for node in ElementTree.fromstring(z.read("word/comments.xml")):
+                if _local(node.tag) == "comment":
+                    text = "\n".join(_text(x) for x in node if _local(x.tag) == "p")
+                    yield p, _attribute(node, "id"), _attribute(node, "author"), _attribute(node, "date"), text
+
+    return _each(_files(spark, path, "*.docx"), "path string, id string, author string, date string, text string", rows)
+
+
 def read_slides(spark: SparkSession, path: str) -> DataFrame:
     """(path, slide, shape, paragraph, text): the paragraphs of every .pptx file's shapes, slides from 1, others from 0."""
 

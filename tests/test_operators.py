@@ -195,3 +195,48 @@ def test_workday_with_many_holidays(spark):
 
 def test_r1c1_back():
     assert Range.of_r1c1("R2C3:R1C1").a1() == "A1:C2" and Range.of_r1c1(Range.of("B7").r1c1()).a1() == "B7"
+
+
+def test_formulas_move(spark):
+    from quillgrid.operators import rebase
+
+    df = spark.createDataFrame([("A1+$B$2*SUM(C3:$D4)&\"A1\"&LOG10(AA10)&Other!A5&'My A1'!B1",), (None,)], "f string")
+    row = df.select(rebase.copied(F.col("f"), 2, 1).alias("a"), rebase.rows_shifted(F.col("f"), 3, 2).alias("b"), rebase.rows_shifted(F.col("f"), 3, -1).alias("c"), rebase.columns_shifted(F.col("f"), 2, 1).alias("d"), rebase.copied(F.col("f"), -2, 0).alias("e")).collect()
+    assert row[0]["a"] == "B3+$B$2*SUM(D5:$D6)&\"A1\"&LOG10(AB12)&Other!B7&'My A1'!C3"
+    assert row[0]["b"] == "A1+$B$2*SUM(C5:$D6)&\"A1\"&LOG10(AA12)&Other!A5&'My A1'!B1"
+    assert row[0]["c"] == "A1+$B$2*SUM(#REF!:$D3)&\"A1\"&LOG10(AA9)&Other!A5&'My A1'!B1"
+    assert row[0]["d"] == "A1+$C$2*SUM(D3:$E4)&\"A1\"&LOG10(AB10)&Other!A5&'My A1'!B1"
+    assert row[0]["e"].startswith("#REF!+$B$2*SUM(C1:$D2)") and row[1]["a"] is None
+    cells = spark.createDataFrame([("S", 1, 1, "f", None, None, None, None, "B5")], "sheet string, row long, col int, kind string, num double, txt string, bool boolean, err string, formula string")
+    assert R.insert_rows(cells, 2, 3).first()["formula"] == "B8" and R.copy_range(cells, 1, 1, 1, 1, 2, 2).where("row = 2").first()["formula"] == "C6"
+
+
+def test_lint_of_names_and_pivots(spark):
+    sheets = spark.createDataFrame([("Data",), ("My 'S",)], "sheet string")
+    names = spark.createDataFrame([("ok", "Data!$A$1:$B$2"), ("q", "'My ''S'!A1"), ("a", "42"), ("b", "Gone!A1"), ("c", "Data!A1:")], "name string, target string")
+    assert {tuple(r) for r in T.lint_names(names, sheets).collect()} == {("a", "named_range_not_a1_range"), ("b", "named_range_missing_sheet"), ("c", "named_range_invalid_range")}
+    pivots = spark.createDataFrame([(1, "Data!A1:C9"), (2, "x"), (3, "No!A1"), (4, "Data!?")], "pivot int, source string")
+    fields = spark.createDataFrame([(1, "Region", "row"), (1, "Gone", "row"), (1, "Lost", "value"), (2, "Z", "row")], "pivot int, field string, role string")
+    headers = spark.createDataFrame([("Data", "Region"), ("Data", "Sales")], "sheet string, header string")
+    got = {tuple(r) for r in T.lint_pivots(pivots, fields, sheets, headers).collect()}
+    assert got == {(1, "Gone", "pivot_field_missing_header"), (1, "Lost", "pivot_value_missing_header"), (2, None, "pivot_source_invalid"), (3, None, "pivot_source_missing_sheet"), (4, None, "pivot_source_range_invalid")}
+
+
+def test_small_reshapes(spark):
+    df = spark.createDataFrame([("a", 1.0, True), ("a", 3.0, None), ("b", 0.0, False)], "k string, v double, b boolean")
+    assert sorted((r["v"], r["share"]) for r in R.share_of_category(df, ["k"], "v").collect()) == [(0.0, None), (1.0, 0.25), (3.0, 0.75)]
+    assert [(x["kind"], x["value"]) for x in R.cache_records(df, ["k", "v", "b"]).where("v = 3").first()["record"]] == [("s", "a"), ("n", "3.0"), ("m", None)]
+    cells = R.to_cells(df.withColumn("at", F.lit(1).cast("long") + F.col("v").cast("long")), "at", "S")
+    assert [(r["number"], r["label"]) for r in R.points(cells, 2, 1, 2, 3).collect()] == [(None, "a"), (1.0, "1"), (1.0, "TRUE")]
+    body = spark.createDataFrame([("d", 0, "paragraph", None, None, "one two one"), ("d", 1, "cell", 0, 0, "x"), ("d", 1, "cell", 0, 1, "y"), ("d", 2, "paragraph", None, None, None)], "path string, item long, kind string, row long, col long, text string")
+    assert [(r["anchor"], r["text"]) for r in T.anchored(body).orderBy("item").collect()] == [("[p1]", "one two one"), ("[t1]", "x\ty"), ("[p2]", "")]
+    assert [(r["text"], r["replaced"]) for r in T.replace_counted(body, "one", "1").orderBy("item").collect()][0] == ("1 two 1", 2)
+
+
+def test_more_office_parts(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("docProps/custom.xml", '<Properties xmlns="c" xmlns:vt="v"><property name="Client"><vt:lpwstr>Acme</vt:lpwstr></property></Properties>')
+        z.writestr("word/comments.xml", '<w:comments xmlns:w="w"><w:comment w:id="3" w:author="Ann" w:date="2024-01-01"><w:p><w:r><w:t>Check</w:t></w:r></w:p></w:comment></w:comments>')
+    assert [tuple(r)[1:] for r in office.properties(spark, str(tmp_path)).collect()] == [("Client", "Acme")]
+    assert [tuple(r)[1:] for r in office.read_comments(spark, str(tmp_path)).collect()] == [("3", "Ann", "2024-01-01", "Check")]
+    assert bytes(office.part_content(spark, str(tmp_path), "word/comments.xml").first()["content"]).startswith(b"<w:comments")
