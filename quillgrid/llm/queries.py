@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import decontam, langid, licences, mainext, merkle, neardup, packing, passages, pii, tokencount
+from quillgrid.llm import balance, decontam, langid, licences, mainext, merkle, neardup, packing, passages, pii, tokencount, turns, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repairs of all conversations after damage to their turns."""
+    return turns.repaired_after_damage(_table(spark, sf_dir, "conversations"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First 16 whitened components of all embeddings."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as pieces in unpadded sequences of levelled attention cost."""
+    pieces = balance.balanced(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_cost")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
@@ -79,6 +95,9 @@ QUERIES = {
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_cost_balanced_packing": op13_cost_balanced_packing,
 }
 ORACLES: dict[str, str] = {
     "op3_benchmark_decontamination": decontam.ORACLE,
