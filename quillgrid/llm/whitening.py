@@ -220,11 +220,11 @@ def whiten(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", c
     """
     vectors = bounded_batches(vectors)
     kind = vectors.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, {OUTPUT}"
-    plain = vectors.select(F.col(f"`{key}`"), F.col(f"`{vector}`").alias("vector"))
+    schema = f"key {kind}, {OUTPUT}"
+    plain = vectors.select(F.col(f"`{key}`").alias("key"), F.col(f"`{vector}`").alias("vector"))
     dimension = dimension_of(plain, "vector")
     if dimension is None:
-        return vectors.sparkSession.createDataFrame([], schema)
+        return vectors.sparkSession.createDataFrame([], schema).withColumnRenamed("key", key)
     model = fit(plain, dimension, components, "vector")
-    rows = plain.select(F.col(f"`{key}`"), quantised("vector").alias("quantised vector")).where(F.size("quantised vector") == dimension)
-    return rows.mapInArrow(partial(_whiten, model=model, dimension=dimension), schema)
+    rows = plain.select("key", quantised("vector").alias("x")).where(F.size("x") == dimension)
+    return rows.mapInArrow(partial(_whiten, model=model, dimension=dimension), schema).withColumnRenamed("key", key)
