@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder of spark.checkpoint.dir, so that it is computed once and its rows stay where they
-    are. Where none is set, a local master gets a temporary one."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where none is set, a local master gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and context.master != "local" and not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillgrid-"))
-    return df.checkpoint()
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillgrid-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def kept(df: DataFrame, name: str = "rows") -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, with statistics, and a lost executor costs no recomputation."""
+    path = f"{shared_dir(df.sparkSession)}/quillgrid/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:

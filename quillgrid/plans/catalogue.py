@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quillgrid.plans import kinds, ranges, relational, scalars
+from quillgrid.plans import kinds, ranges, relational, scalars, searches
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (ranges, relational, scalars, kinds):
+for _module in (ranges, relational, scalars, kinds, searches):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
 # Names that these had while they read whole tables and others beside them did not.
