@@ -13,14 +13,14 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from quillgrid.llm.packing import CAPACITY, encoder
 from quillgrid.llm.tables import bounded_batches, stage
@@ -33,7 +33,6 @@ BATCH_TOKENS = 1 << 20
 #: Earlier counts of a (task, length) are broadcast up to so many rows of 24 bytes, and joined by a shuffle beyond.
 BROADCAST_ROWS = 300_000
 _TOKENS = "doc_id long, part int, nth long, start long, length int, doc_tokens long, ids binary"
-PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_cost long, ids binary"
 
 
 def cost(length: int, width: int = WIDTH) -> int:
@@ -165,36 +164,37 @@ class _Slots:
         return of, self.rows[at]
 
 
-def _place(batches: Iterator[pa.RecordBatch], steps: np.ndarray) -> Iterator[pa.RecordBatch]:
-    slots = {int(k): _Slots(steps[steps[:, 0] == k]) for k in np.unique(steps[:, 0])}
-    for batch in batches:
-        length = batch.column("length").to_numpy(zero_copy_only=False)
-        rank = batch.column("rank").to_numpy(zero_copy_only=False)
-        row, planned = [], []
-        for k in np.unique(length):
-            mine = np.flatnonzero(length == k)
-            of, found = slots[int(k)].find(rank[mine])
+def _finder(steps: np.ndarray) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    """The plan as an Arrow UDF: (length, rank) -> [(start, tokens, sequence_id, offset, sequence_cost)]. The ids stay with Spark."""
+    slots: dict[int, _Slots] = {}
+    names = ["start", "tokens", "sequence_id", "offset", "sequence_cost"]
+
+    def find(length: pa.Array, rank: pa.Array) -> pa.Array:
+        if not slots:
+            order = np.argsort(steps[:, 0], kind="stable")
+            keys, at = np.unique(steps[order, 0], return_index=True)
+            slots.update((int(k), _Slots(rows)) for k, rows in zip(keys, np.split(steps[order], at[1:]), strict=True))
+        lengths, ranks = length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
+        row, planned = [np.zeros(0, dtype=np.int64)], [np.zeros((0, 8), dtype=np.int64)]
+        by = np.argsort(lengths, kind="stable")
+        keys, at = np.unique(lengths[by], return_index=True)
+        for k, mine in zip(keys, np.split(by, at[1:]), strict=False):
+            of, found = slots[int(k)].find(ranks[mine])
             row.append(mine[of])
             planned.append(found)
-        if not row:
-            continue
         row, planned = np.concatenate(row), np.concatenate(planned)
-        low, tokens = planned[:, 3], planned[:, 4]
-        ids = batch.column("ids")
-        data = [ids[int(r)].as_py()[4 * a : 4 * (a + n)] for r, a, n in zip(row, low, tokens, strict=True)]
-        at = pa.array(row)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id").take(at), pa.array(batch.column("start").to_numpy(zero_copy_only=False)[row] + low), pa.array(tokens),
-                batch.column("doc_tokens").take(at), pa.array(planned[:, 5] + rank[row] - planned[:, 1]), pa.array(planned[:, 6]),
-                pa.array(planned[:, 7]), pa.array(data, pa.binary()),
-            ],
-            names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "sequence_cost", "ids"],
-        )
+        order = np.argsort(row, kind="stable")
+        row, planned = row[order], planned[order]
+        ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(ranks))))).astype(np.int32)
+        columns = [planned[:, 3], planned[:, 4], planned[:, 5] + ranks[row] - planned[:, 1], planned[:, 6], planned[:, 7]]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(c) for c in columns], names=names))
+
+    return find
 
 
 def balanced(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, width: int = WIDTH) -> DataFrame:
-    """The packed pieces of all documents (columns as in PIECES; ids are little-endian unsigned 32-bit).
+    """(doc_id, start, length, doc_tokens, sequence_id, offset, sequence_cost, ids): the packed pieces of all documents; ids are
+    little-endian unsigned 32-bit.
 
     Documents longer than `capacity` are cut there; others only where a piece fits whole into no sequence. An empty table
     gives an empty result; repeated rows are packed as often as they occur, rows with a null doc_id too; null or empty
@@ -210,5 +210,9 @@ def balanced(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     if counts.count() <= BROADCAST_ROWS:
         before = F.broadcast(before)
-    ranked = pieces.join(before, ["part", "length"]).select("doc_id", "start", "length", "doc_tokens", (F.col("before") + F.col("nth")).alias("rank"), "ids")
-    return bounded_batches(ranked).mapInArrow(partial(_place, steps=steps), PIECES)
+    find = arrow_udf(_finder(steps), "array<struct<start: long, tokens: long, sequence_id: long, offset: long, sequence_cost: long>>")
+    ranked = pieces.join(before, ["part", "length"]).withColumn("slot", F.explode(find("length", F.col("before") + F.col("nth"))))
+    return ranked.select(
+        "doc_id", (F.col("start") + F.col("slot.start")).alias("start"), F.col("slot.tokens").alias("length"), "doc_tokens", "slot.sequence_id", "slot.offset", "slot.sequence_cost",
+        F.expr("substring(ids, int(4 * slot.start + 1), int(4 * slot.tokens))").alias("ids"),
+    )

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,25 +23,15 @@ from quillgrid.llm.tables import bounded_batches, parallelism, stage
 
 CAPACITY = 1024
 END_ID = 2
-#: Distinct chunks of text whose ids a worker keeps.
-CACHE = 80_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class _Ids(dict):
-    """Ids of ' ' + chunk as little-endian 32-bit bytes. A space before a non-space always starts a new word of this
-    vocabulary's pattern, so a text's ids are those of its chunks in a row."""
-
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        found = np.array(self.encode(" " + chunk), dtype="<u4").tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        self[chunk] = found
-        return found
+def _bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit bytes."""
+    data = array("I", ids)
+    if sys.byteorder == "big":
+        data.byteswap()
+    return data.tobytes()
 
 
 class Encoder:
@@ -61,7 +53,7 @@ class Encoder:
         self.added = {t["content"]: t["id"] for t in known["added_tokens"]}
         ranks = {bytes(map(byte.__getitem__, piece)): i for piece, i in known["model"]["vocab"].items() if piece not in self.added}
         core = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.chunks = _Ids(core.encode_ordinary)
+        self.encode = core.encode_ordinary
         # Of added tokens at one place the longest is taken.
         self.splits = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
@@ -73,15 +65,7 @@ class Encoder:
         return b"".join(int(self.added[x]).to_bytes(4, "little") if k % 2 else self._plain(x) for k, x in enumerate(parts))
 
     def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        encode, chunks = self.chunks.encode, text.split(" ")
-        first = np.array(encode(chunks[0]), dtype="<u4").tobytes() if chunks[0] else b""
-        if len(chunks) == 1:
-            return first
-        if not all(chunks) or any(x[0].isspace() for x in chunks[1:]):  # runs of white space cross chunks
-            return np.array(encode(text), dtype="<u4").tobytes()
-        return first + b"".join(map(self.chunks.__getitem__, chunks[1:]))
+        return _bytes(self.encode(text)) if text else b""
 
 
 _LOADED: dict[str, Encoder] = {}
