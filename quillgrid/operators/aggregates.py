@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.functions.cells import DIV0, NUM
+from quillgrid.operators import ranks
 
 
 def _cols(columns) -> list[Column]:
@@ -226,67 +227,35 @@ def GCD_LCM(df: DataFrame, column: str) -> DataFrame:
     return whole.select(F.aggregate("gs", zero, gcd).cast("double").alias("gcd"), F.aggregate("ls", one, lcm).cast("double").alias("lcm"))
 
 
-#: Distinct values, or rows, that a search for a rank sorts in one task.
-FEW = 100_000
-
-
 def nth_largest(df: DataFrame, column: str, n: int) -> float | None:
-    """The n-th largest number (ties counted one by one), None if there are fewer. A bracket around it is narrowed by
-    approximate quantiles and exact counts until few distinct values are left, so no task sorts the table."""
-    rows = df.select(_num(F.col(column)).alias("x")).where("x IS NOT NULL")
-    total = rows.count()
-    if not 1 <= n <= total:
-        return None
-    slack = 1e-3
-    while True:
-        counts = rows.groupBy("x").agg(F.count("*").alias("k"))
-        if counts.limit(FEW + 1).count() <= FEW:
-            seen = counts.withColumn("seen", F.sum("k").over(Window.orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, 0)))  # FEW rows at most
-            return seen.where(F.col("seen") >= n).agg(F.max("x").alias("x")).first()["x"]
-        at = 1 - n / total
-        low, high = rows.agg(F.percentile_approx("x", [max(0.0, at - slack), min(1.0, at + slack)], 10_000).alias("q")).first()["q"]
-        above, within = rows.agg(F.count_if(F.col("x") > high).alias("a"), F.count_if(F.col("x").between(low, high)).alias("w")).first()
-        if not above < n <= above + within:
-            slack *= 4  # the quantiles are approximate
-            continue
-        if within == total:
-            return _nth_by_sort(rows, n)
-        rows, n, total, slack = rows.where(F.col("x").between(low, high)), n - above, within, 1e-3
-
-
-def _nth_by_sort(rows: DataFrame, n: int) -> float:
-    """For rows that quantiles cannot part: the n-th by a distributed sort, of which one row is taken."""
-    return rows.orderBy(F.desc("x")).offset(n - 1).limit(1).first()["x"]
+    """The n-th largest number (ties counted one by one), None if there are fewer."""
+    return ranks.nth(df.select(_num(F.col(column)).alias("v")), n)
 
 
 def MEDIAN_OF(df: DataFrame, column: str) -> DataFrame:
     """(median): as MEDIAN, which holds all distinct values of a group in one buffer, but for tables of any size."""
-    n = df.select(_num(F.col(column)).alias("x")).agg(F.count("x").alias("n")).first()["n"]
-    ends = [nth_largest(df, column, k) for k in {(n + 1) // 2, n // 2 + 1}] if n else []
-    return df.sparkSession.createDataFrame([(sum(ends) / len(ends) if ends else None,)], "median double")
+    return ranks.MEDIANS(df, column).select("median")
 
 
 def AVEDEV(df: DataFrame, column: str) -> DataFrame:
-    """(avedev): mean distance from the mean, in two passes; the mean is one row."""
-    c = F.col(column).cast("double")
+    """(avedev): mean distance from the mean, in two passes; the mean is one row. NULL where there is no number."""
+    c = _num(F.col(column))
     mean = df.agg(F.avg(c).alias("mean"))
     return df.join(F.broadcast(mean)).agg(F.avg(F.abs(c - F.col("mean"))).alias("avedev"))
 
 
-def _ranked(df: DataFrame, column: str, k: int, name: str) -> DataFrame:
-    found = nth_largest(df, column, k)
+def _ranked(df: DataFrame, found: float | None, name: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(found, None if found is not None else NUM)], f"{name} double, error string")
 
 
 def LARGE(df: DataFrame, column: str, k: int) -> DataFrame:
     """(large, error): the k-th largest number, NULL and #NUM! if there is none."""
-    return _ranked(df, column, k, "large")
+    return _ranked(df, nth_largest(df, column, k), "large")
 
 
 def SMALL(df: DataFrame, column: str, k: int) -> DataFrame:
     """(small, error): the k-th smallest number."""
-    n = df.select(_num(F.col(column)).alias("x")).agg(F.count("x").alias("n")).first()["n"]
-    return _ranked(df, column, n + 1 - k if k >= 1 else 0, "small")
+    return _ranked(df, ranks.nth(df.select(_num(F.col(column)).alias("v")), k, largest=False), "small")
 
 
 #: The range functions by their spreadsheet names.

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.operators.aggregates import _num
+
 _NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
 
 
@@ -93,15 +95,16 @@ def COUNTIFS(df: DataFrame, *pairs) -> Column:
 
 
 def SUMIF(df: DataFrame, column: str, wanted, summed: str | None = None) -> Column:
-    return F.coalesce(F.sum(F.when(criterion(df, column, wanted), F.col(summed or column).cast("double"))), F.lit(0.0))
+    """Text in the summed column does not count, as in the next two."""
+    return F.coalesce(F.sum(F.when(criterion(df, column, wanted), _num(F.col(summed or column)))), F.lit(0.0))
 
 
 def SUMIFS(df: DataFrame, summed: str, *pairs) -> Column:
-    return F.coalesce(F.sum(F.when(criteria(df, *pairs), F.col(summed).cast("double"))), F.lit(0.0))
+    return F.coalesce(F.sum(F.when(criteria(df, *pairs), _num(F.col(summed)))), F.lit(0.0))
 
 
 def AVERAGEIFS(df: DataFrame, averaged: str, *pairs) -> Column:
-    return F.avg(F.when(criteria(df, *pairs), F.col(averaged).cast("double")))
+    return F.avg(F.when(criteria(df, *pairs), _num(F.col(averaged))))
 
 
 def _condition(df: DataFrame, column: str, wanted) -> Column:

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.operators.aggregates import nth_largest
+from quillgrid.operators import ranks
+from quillgrid.operators.aggregates import _num
 from quillgrid.operators.criteria import criterion
 
 EPSILON = 1e-9
@@ -30,22 +31,25 @@ def filter_custom(df: DataFrame, column: str, *wanted, both: bool = True) -> Dat
 def filter_top(df: DataFrame, column: str, n: float, bottom: bool = False, percent: bool = False) -> DataFrame:
     """The rows of the n largest (smallest) values, ties at the edge included; with percent, of ceil(n% of the rows).
 
-    The edge value is found by narrowing a bracket, so neither a window nor one task's sort spans the table.
+    The edge value is found by a heap in each task for small n and by narrowing a bracket beyond, so neither a window nor one
+    task's sort spans the table. Text has no place among the numbers.
     """
     c = F.col(column)
-    total = df.where(c.isNotNull()).count()
-    n = math.ceil(total * n / 100) if percent else int(n)
-    if n < 1 or not total:
+    if percent:
+        n = math.ceil(df.where(c.isNotNull()).count() * n / 100)
+    if int(n) < 1:
         return df.limit(0)
-    signed = df.select((-c if bottom else c).alias("x"))
-    edge = nth_largest(signed, "x", min(n, total))
-    return df.where(-c >= edge if bottom else c >= edge)
+    edge = ranks.nth(df.select(_num(c).alias("v")), int(n), largest=not bottom)
+    if edge is None:
+        return df.where(_num(c).isNotNull() & ~F.isnan(_num(c)))
+    return df.where(_num(c) <= edge if bottom else (_num(c) >= edge) & ~F.isnan(_num(c)))
 
 
 def filter_average(df: DataFrame, column: str, above: bool = True) -> DataFrame:
-    """Rows above (below) the column's average."""
-    mean = df.agg(F.avg(column).alias("mean"))
-    return df.join(F.broadcast(mean), F.col(column) > F.col("mean") if above else F.col(column) < F.col("mean")).drop("mean")
+    """Rows above (below) the column's average; text counts for none."""
+    c = _num(F.col(column))
+    mean = df.agg(F.avg(c).alias("rule mean"))
+    return df.join(F.broadcast(mean), c > F.col("rule mean") if above else c < F.col("rule mean")).drop("rule mean")
 
 
 def filter_dates(df: DataFrame, column: str, kind: str, today: str | None = None) -> DataFrame:
@@ -80,7 +84,8 @@ def cell_is(column: str, op: str, a, b=None) -> Column:
 
 
 def _with_bounds(df: DataFrame, column: str) -> DataFrame:
-    bounds = df.agg(F.min(column).cast("double").alias("rule low"), F.max(column).cast("double").alias("rule high"))
+    c = _num(F.col(column))
+    bounds = df.agg(F.min(c).alias("rule low"), F.max(c).alias("rule high"))
     return df.join(F.broadcast(bounds))
 
 
@@ -91,7 +96,7 @@ def _position() -> Column:
 
 def color_scale(df: DataFrame, column: str, colors: list[tuple[int, int, int]], name: str = "color") -> DataFrame:
     """df with #RRGGBB between two or three colours by the cell's place between the column's least and greatest."""
-    at = _position()(F.col(column).cast("double"))
+    at = _position()(_num(F.col(column)))
     scaled = at * (len(colors) - 1)
     place = F.least(F.floor(scaled), F.lit(len(colors) - 2)).cast("int")
     parts = []
@@ -99,19 +104,19 @@ def color_scale(df: DataFrame, column: str, colors: list[tuple[int, int, int]],
         own = F.array(*[F.lit(float(c[channel])) for c in colors])
         low, high = F.get(own, place), F.get(own, place + 1)
         parts.append(F.lpad(F.hex(F.floor(low + (high - low) * (scaled - place) + 0.5).cast("bigint")), 2, "0"))
-    return _with_bounds(df, column).withColumn(name, F.when(F.col(column).isNotNull(), F.concat(F.lit("#"), *parts))).drop("rule low", "rule high")
+    return _with_bounds(df, column).withColumn(name, F.when(_num(F.col(column)).isNotNull(), F.concat(F.lit("#"), *parts))).drop("rule low", "rule high")
 
 
 def data_bar(df: DataFrame, column: str, least: float = 10.0, most: float = 90.0, name: str = "bar") -> DataFrame:
     """df with the length of the cell's bar, from least to most percent."""
-    at = _position()(F.col(column).cast("double"))
+    at = _position()(_num(F.col(column)))
     return _with_bounds(df, column).withColumn(name, least + at * (most - least)).drop("rule low", "rule high")
 
 
 def icon_set(df: DataFrame, column: str, icons: int = 3, reverse: bool = False, name: str = "icon") -> DataFrame:
     """df with the icon number 0 to icons - 1; the cut points are .33 and .67, quarters, or fifths."""
     cuts = {3: [0.33, 0.67], 4: [0.25, 0.5, 0.75], 5: [0.2, 0.4, 0.6, 0.8]}[icons]
-    at = _position()(F.col(column).cast("double"))
+    at = _position()(_num(F.col(column)))
     icon = reduce(lambda a, b: a + b, [(at >= cut).cast("int") for cut in cuts])
     return _with_bounds(df, column).withColumn(name, icons - 1 - icon if reverse else icon).drop("rule low", "rule high")
 

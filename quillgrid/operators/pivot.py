@@ -8,13 +8,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.operators.aggregates import _num
+
 TOTAL = "Grand Total"
 
+def _of_numbers(function):
+    """The function over the numbers of a field: text does not count."""
+    return lambda c: function(_num(F.col(c) if isinstance(c, str) else c))
+
+
 #: The subtotal functions by name.
 FUNCTIONS = {
-    "average": F.avg, "count": F.count, "countNums": lambda c: F.count(F.col(c).cast("double") if isinstance(c, str) else c.cast("double")),
-    "max": F.max, "min": F.min, "product": F.product, "stdDev": F.stddev_samp, "stdDevP": F.stddev_pop,
-    "sum": F.sum, "var": F.var_samp, "varP": F.var_pop,
+    "average": _of_numbers(F.avg), "count": F.count, "countNums": _of_numbers(F.count), "max": F.max, "min": F.min, "product": _of_numbers(F.product),
+    "stdDev": _of_numbers(F.stddev_samp), "stdDevP": _of_numbers(F.stddev_pop), "sum": _of_numbers(F.sum), "var": _of_numbers(F.var_samp), "varP": _of_numbers(F.var_pop),
 }
 
 

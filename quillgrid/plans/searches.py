@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillgrid.operators import aggregates as A
+from quillgrid.operators import criteria as C
+from quillgrid.operators import filters as FL
+from quillgrid.operators import pivot as P
+from quillgrid.operators import ranks as RK
 from quillgrid.operators import row_criteria as RC
 from quillgrid.operators.row_criteria import By
+from quillgrid.plans.kinds import mixed
 from quillgrid.plans.ranges import r, table
 
 QUERIES: dict = {}
@@ -68,3 +74,55 @@ def criteria_in_cells(spark, sf_dir):
     counted = RC.COUNTIFS(rows, orders, By("o_totalprice", "", "cell"), name="n")
     found = RC.SUMIFS(counted, orders, "o_totalprice", By("o_totalprice", "", "cell"), name="total")
     return found.select("s_suppkey", "n", r("total", 2).alias("total"))
+
+
+@query("SELECT l_suppkey, median(l_extendedprice) AS median, CAST(NULL AS VARCHAR) AS error FROM lineitem GROUP BY l_suppkey")
+def median_by_supplier(spark, sf_dir):
+    """MEDIAN of the lines of each supplier, exact, by one bracket search for all."""
+    return RK.MEDIANS(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_suppkey"])
+
+
+@query("SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS median, CAST(NULL AS VARCHAR) AS error FROM lineitem GROUP BY ALL")
+def median_by_flag(spark, sf_dir):
+    """MEDIAN within a few very large groups."""
+    return RK.MEDIANS(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus"])
+
+
+@query("""WITH s AS (SELECT c_nationkey, list_sort(list(c_acctbal)) AS l FROM customer GROUP BY c_nationkey)
+    SELECT c_nationkey, l[len(l)] AS large_1, l[len(l) - 9] AS large_10, CASE WHEN len(l) >= 400 THEN l[len(l) - 399] END AS large_400, l[3] AS small_3 FROM s""")
+def ranks_in_groups(spark, sf_dir):
+    """LARGE and SMALL within groups, beyond a group's size too."""
+    c = table(spark, sf_dir, "customer")
+    large, small = RK.LARGES(c, "c_acctbal", ["c_nationkey"], 1, 10, 400), RK.SMALLS(c, "c_acctbal", ["c_nationkey"], 3)
+    return large.join(small, "c_nationkey")
+
+
+@query("""WITH v AS (SELECT l_returnflag AS flag, CASE l_linenumber % 3 WHEN 0 THEN l_quantity::VARCHAR WHEN 1 THEN l_returnflag END AS cell, l_linenumber % 3 AS k, l_quantity AS q FROM lineitem)
+    SELECT 0.0 AS of_text, round(sum(q) FILTER (k = 0 AND flag = 'R'), 2) AS of_cells, round(avg(q) FILTER (k = 0 AND flag <> 'R'), 6) AS mean, CAST(NULL AS DOUBLE) AS mean_of_text,
+    round(sum((flag = 'A')::INT), 0) AS of_truths FROM v""")
+def sumifs_mixed(spark, sf_dir):
+    """SUMIF, SUMIFS and AVERAGEIFS over text cells, cells of mixed kinds and booleans: text does not count."""
+    at = F.col("l_linenumber") % 3
+    li = table(spark, sf_dir, "lineitem").withColumn("flag", F.col("l_returnflag")).withColumn("truth", F.lit(True))
+    li = li.withColumn("cell", F.when(at == 0, F.col("l_quantity").cast("string")).when(at == 1, F.col("l_returnflag"))).withColumn("number", F.when(at == 0, F.col("l_quantity")))
+    return li.agg(
+        C.SUMIF(li, "flag", "R", "cell").alias("of_text"), r(C.SUMIFS(li, "number", "flag", "R"), 2).alias("of_cells"), r(C.AVERAGEIFS(li, "number", "flag", "<>R")).alias("mean"),
+        C.AVERAGEIFS(li, "cell", "flag", "R").alias("mean_of_text"), C.SUMIFS(li, "truth", "flag", "A").alias("of_truths"),
+    )
+
+
+@query("""SELECT coalesce(l_linestatus, 'Grand Total') AS l_linestatus, 0 AS numbers, CAST(NULL AS DOUBLE) AS total, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS sd, count(l_returnflag) AS filled,
+    round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_linestatus)""")
+def pivot_mixed(spark, sf_dir):
+    """A pivot whose value field is text: nothing to sum or average, cells to count."""
+    spec = P.Pivot(["l_linestatus"], [("l_returnflag", "countNums", "numbers"), ("l_returnflag", "sum", "total"), ("l_returnflag", "average", "mean"), ("l_returnflag", "stdDev", "sd"), ("l_returnflag", "count", "filled"), ("l_quantity", "sum", "quantity")])
+    return spec.long(table(spark, sf_dir, "lineitem")).select("l_linestatus", "numbers", "total", "mean", "sd", "filled", r("quantity", 2).alias("quantity"))
+
+
+@query("""WITH m AS (SELECT l_quantity AS q FROM lineitem WHERE l_linenumber % 3 = 0), a AS (SELECT avg(q) AS mean FROM m)
+    SELECT round(avg(abs(q - mean)), 6) AS avedev, CAST(NULL AS DOUBLE) AS of_text, (SELECT count(*) FROM lineitem, a WHERE l_linenumber % 3 = 0 AND l_quantity > mean) AS above FROM m, a""")
+def avedev_mixed(spark, sf_dir):
+    """AVEDEV and the above-average filter over cells of mixed kinds, and AVEDEV of text."""
+    cells = mixed(spark, sf_dir).withColumn("number", A.numbers(booleans=False))
+    found, text, above = A.AVEDEV(cells, "number"), A.AVEDEV(cells, "txt"), FL.filter_average(cells, "number").agg(F.count("*").alias("above"))
+    return found.select(r("avedev").alias("avedev")).join(text.select(F.col("avedev").alias("of_text"))).join(above)

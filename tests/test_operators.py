@@ -12,6 +12,7 @@ from quillgrid.operators import database as D
 from quillgrid.operators import filters as FL
 from quillgrid.operators import lookup as L
 from quillgrid.operators import pivot as P
+from quillgrid.operators import ranks as RK
 from quillgrid.operators import reshape as R
 from quillgrid.operators import textform as T
 from quillgrid.operators.ranges import Range, column_index, letters_of
@@ -158,7 +159,8 @@ def test_stream(spark, tmp_path):
 
 
 def test_ranks_of_large_tables(spark, monkeypatch):
-    monkeypatch.setattr(A, "FEW", 50)
+    monkeypatch.setattr(RK, "FEW", 50)
+    monkeypatch.setattr(RK, "HEAP", 2)
     values = [float(i * i % 997) for i in range(3000)] + [5.0] * 2000 + [None]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     order = sorted((v for v in values if v is not None), reverse=True)
