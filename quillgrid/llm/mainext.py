@@ -10,6 +10,7 @@ text and not links. All lines of that region that are not in menus, notices and
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -36,6 +37,10 @@ _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th caption figcaption summa
 _HOLDERS = _BREAKS - _LEAVES - {"hr", "tr"}
 #: Never text, whatever surrounds them.
 _DEAD = frozenset("head title script style noscript template svg iframe object canvas select textarea button".split())
+#: What can stand in a head; any other start tag ends it.
+_IN_HEAD = frozenset("title meta link script style base noscript template".split())
+#: Dead elements whose end tags are sometimes forgotten.
+_LOOSE = re.compile("<(/?)(noscript|template|svg|iframe|object|canvas|select|button)(?=[\\s/>])", re.IGNORECASE)
 _ASIDE = frozenset("nav footer aside form dialog".split())
 _LISTS = frozenset("ul ol menu".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
@@ -45,10 +50,14 @@ _MARKS = frozenset(
     "sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent notice notices popup popups modal newsletter subscribe "
     "signup login share sharing social related recommend recommended recommendations widget widgets toolbar pagination pager skip".split()
 )
+#: Of these, the words that mean other things in longer names (`related-work`, `elementor-widget`): there, what a block holds decides.
+_DOUBTFUL = frozenset("header banner banners promo promos notice notices share sharing social related recommend recommended recommendations widget widgets skip".split())
+#: Characters in a line that is more than a label.
+_SENTENCE = 80
 _COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
 #: First words that make a class name say something of its element's surroundings (`with-sidebar`).
 _MODIFIERS = frozenset("with without no has have is not hide show js".split())
-_PLAIN, _MARKED, _REMARK, _OUT = range(4)
+_PLAIN, _DOUBT, _MARKED, _REMARK, _OUT = range(5)
 
 
 def _mark(name: str, value: str, leaf: bool) -> int:
@@ -60,8 +69,10 @@ def _mark(name: str, value: str, leaf: bool) -> int:
             continue
         if parts[0] in _COMMENTS or parts[-1] in _COMMENTS:
             return _REMARK
-        if parts[0] in _MARKS or parts[-1] in _MARKS or parts[:2] in (["side", "bar"], ["sign", "up"]):
+        if parts[:2] in (["side", "bar"], ["sign", "up"]) or len(parts) == 1 and parts[0] in _MARKS or {parts[0], parts[-1]} & (_MARKS - _DOUBTFUL):
             found = _MARKED
+        elif parts[0] in _DOUBTFUL or parts[-1] in _DOUBTFUL:
+            found = max(found, _DOUBT)
     return found
 
 
@@ -69,13 +80,17 @@ class _Page(HTMLParser):
     """Collects lines as (text, tags, element, characters in links), and elements by number, a parent's before its
     children's: tags, parents, what their attributes say, and whether their end tags came."""
 
-    def __init__(self) -> None:
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
+        tags = Counter((name.lower(), end) for end, name in _LOOSE.findall(html))
+        self.unended = {name for name, _ in tags if tags[name, ""] > tags[name, "/"]}
         self.lines: list[tuple[str, int, int, int]] = []
         self.tag_of, self.parents, self.says, self.ended = [""], [-1], [_PLAIN], [True]
         self.stack = [0]
         self.held: list[str] = []
-        self.tags = self.dead = self.links = self.linked = 0
+        self.tags = self.links = self.linked = 0
+        self.dead: list[str] = []  # open dead elements
+        self.within: Counter[str] = Counter()  # elements opened in the outermost of them and not ended
 
     def flush(self) -> None:
         if self.held:
@@ -85,6 +100,11 @@ class _Page(HTMLParser):
                 self.tags = 0
             self.held, self.linked = [], 0
 
+    def revive(self) -> None:
+        """Dead elements end here, whatever has become of their end tags."""
+        self.dead.clear()
+        self.within.clear()
+
     def imply(self, names: frozenset[str], until: frozenset[str]) -> None:
         """The end of the innermost open element of these names, unless one of `until` is open within it."""
         for i in range(len(self.stack) - 1, 0, -1):
@@ -96,11 +116,15 @@ class _Page(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.dead and ((self.dead[-1] == "head" and tag not in _IN_HEAD) or (self.dead[-1] in self.unended and tag in _BREAKS) or tag == "body"):
+            self.revive()
         if tag in _DEAD:
             self.flush()
-            self.dead += 1
+            self.dead.append(tag)
             return
         if self.dead:
+            if tag not in _VOID:
+                self.within[tag] += 1
             return
         if tag in _BREAKS:
             self.flush()
@@ -122,7 +146,7 @@ class _Page(HTMLParser):
                 says = _OUT
             elif value and name in ("class", "id") and tag not in ("html", "body", "main"):
                 says = max(says, _mark(name, value, tag in _LEAVES or tag not in _BREAKS))
-        if tag == "article" and says == _MARKED:
+        if tag == "article" and says in (_DOUBT, _MARKED):
             says = _PLAIN
         if tag in _BREAKS and tag != "hr" or says:
             if says:
@@ -135,10 +159,16 @@ class _Page(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _DEAD:
-            self.dead = max(0, self.dead - 1)
+            if tag in self.dead:
+                del self.dead[len(self.dead) - 1 - self.dead[::-1].index(tag) :]
+                if not self.dead:
+                    self.within.clear()
             return
         if self.dead:
-            return
+            if self.within[tag] or self.dead[-1] not in self.unended or tag not in _BREAKS:
+                self.within[tag] -= self.within[tag] > 0
+                return
+            self.revive()  # the end of an element around it
         if tag in _BREAKS:
             self.flush()
         self.tags += 1
@@ -189,13 +219,19 @@ def _left_out(page: _Page) -> list[bool]:
     """Of each element, whether its text is not part of an article: menus, notices, forms and the like.
 
     A wrapper is not left out for its class if it holds an article, a main element or a first-level heading, or, unless
-    it says it holds comments, half of the page's text; nor is a form that does.
+    it says it holds comments, half of the page's text; nor is a form that does. A doubtful name counts for a block that is
+    mostly links or, outside of articles, only labels.
     """
     tags, parents = page.tag_of, page.parents
     size = np.zeros(len(tags))
-    for text, _, element, _ in page.lines:
+    linked, longest = np.zeros(len(tags)), np.zeros(len(tags))
+    for text, _, element, links in page.lines:
         size[element] += len(text)
-    size = _summed(parents, size)
+        linked[element] += links
+        longest[element] = max(longest[element], len(text))
+    size, linked = _summed(parents, size), _summed(parents, linked)
+    for e in range(len(tags) - 1, 0, -1):
+        longest[parents[e]] = max(longest[parents[e]], longest[e])
     holds = _summed(parents, np.array([float(t in ("article", "main", "h1")) for t in tags])) - np.array([float(t in ("article", "main", "h1")) for t in tags])
     inside = [False] * len(tags)  # of an article or main element
     out = [False] * len(tags)
@@ -205,6 +241,7 @@ def _left_out(page: _Page) -> list[bool]:
         wraps = holds[e] > 0 or tag in _CONTENT or tag == "h1"
         own = says == _OUT or (says == _REMARK and not wraps) or (says == _MARKED and not wraps and 2 * size[e] < size[0])
         own |= says == _REMARK and tag == "article"
+        own |= says == _DOUBT and not wraps and 2 * size[e] < size[0] and (2 * linked[e] >= size[e] or (longest[e] < _SENTENCE and not inside[e]))
         if tag == "header":
             own |= not inside[e]
         elif tag == "form":
@@ -223,7 +260,7 @@ def main_text(html: str) -> str:
     """The main text of a page: its content regions' blocks in page order, joined by line feeds; empty if none."""
     if not html:
         return ""
-    page = _Page()
+    page = _Page(html)
     page.feed(html)
     page.close()
     page.flush()
