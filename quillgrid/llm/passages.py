@@ -17,6 +17,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quillgrid.llm import wordhash
 from quillgrid.llm.neardup import confirmed_components, sized
@@ -25,9 +26,9 @@ from quillgrid.llm.tables import bounded_batches, release, stage
 #: Words of a window, and places in a row at one of which a window begins.
 WINDOW, SPREAD = 25, 20
 SPAN = WINDOW - wordhash.SHINGLE + 1
-#: Bands and minhashes in each. Equal units always collide; at a similarity of 0.8 a unit collides with a probability of
-#: 0.76, one of two units of a passage with 0.94, of three with 0.99.
-BANDS, ROWS = 2, 3
+#: Bands of a paragraph and of a window, and minhashes in each. Equal units always collide; at a similarity of 0.8 two
+#: paragraphs collide with a probability of 0.972 and two windows with 0.76: a passage has several windows.
+BANDS, WINDOW_BANDS, ROWS = 5, 2, 3
 SIMILARITY = 0.8
 #: Words that the first round of the extension looks at.
 STEP = 64
@@ -77,8 +78,9 @@ def paragraphs(part: np.ndarray, starts: np.ndarray, firsts: np.ndarray) -> tupl
     return fresh[enough], size[enough], owner[fresh[enough]]
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(shingles of all texts, index of each unit's first shingle, its number of shingles, its text, its first word)."""
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(shingles of all texts, index of each unit's first shingle, its number of shingles, its text, its first word, number
+    of windows: they come first)."""
     hashes, starts, _, firsts = wordhash.words(data, offsets)
     values, begin = wordhash.shingles(hashes, firsts)
     at, row = anchors(values, begin)
@@ -87,7 +89,7 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     at = np.concatenate((at, begin[owner] + position))
     number = np.concatenate((np.full(len(row), SPAN, dtype=np.int64), size - wordhash.SHINGLE + 1))
     row = np.concatenate((row, owner))
-    return values, at, number, row, at - begin[row]
+    return values, at, number, row, at - begin[row], len(row) - len(word)
 
 
 def _ends(at: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -96,19 +98,20 @@ def _ends(at: np.ndarray, number: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bands(values: np.ndarray, at: np.ndarray, number: np.ndarray) -> np.ndarray:
-    out = np.empty((BANDS, len(at)), dtype=np.uint64)
+def _bands(values: np.ndarray, at: np.ndarray, number: np.ndarray, bands: range) -> np.ndarray:
+    """A key of each unit (columns) for each band (rows)."""
+    out = np.empty((len(bands), len(at)), dtype=np.uint64)
     if not len(at):
         return out
     ends = _ends(at, number)
     guarded = np.append(values, np.uint64(np.iinfo(np.uint64).max))  # reduceat wants every index inside
     with np.errstate(over="ignore"):
-        for band in range(BANDS):
+        for k, band in enumerate(bands):
             key = np.full(len(at), band + 1, dtype=np.uint64)
             for row in range(ROWS):
                 low = np.minimum.reduceat(guarded * _SEEDS[band * ROWS + row], ends)[0::2]
                 key = wordhash.mix(key ^ low)
-            out[band] = key
+            out[k] = key
     return out
 
 
@@ -132,11 +135,14 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         data, offsets = wordhash.utf8(batch.column(1))
         for i, j in wordhash.pieces(offsets):
-            values, at, number, row, position = units(data, offsets[i : j + 1])
-            keys = _bands(values, at, number)
-            whole = _whole(values, at, number)
+            values, at, number, row, position, windows = units(data, offsets[i : j + 1])
+            few = _bands(values, at, number, range(WINDOW_BANDS))
+            more = _bands(values, at[windows:], number[windows:], range(WINDOW_BANDS, BANDS))
+            whole = _whole(values, at, number).view(np.int64)
             place = position * _PLACE + number + wordhash.SHINGLE - 1
-            columns = [keys.reshape(-1).view(np.int64), *(np.tile(x, BANDS) for x in (whole.view(np.int64), ids[i:j][row], place))]
+            keys = np.concatenate((few.reshape(-1), more.reshape(-1)))
+            each = lambda x: np.concatenate((np.tile(x, WINDOW_BANDS), np.tile(x[windows:], BANDS - WINDOW_BANDS)))  # noqa: E731, B023
+            columns = [keys.view(np.int64), *map(each, (whole, ids[i:j][row], place))]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["key", "node", "doc_id", "place"])
 
@@ -164,18 +170,26 @@ def _plain(docs: DataFrame, text: str = "text") -> DataFrame:
     return bounded_batches(docs).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def _apart(later: Column, first: Column) -> Column:
+    """Whether of two (doc_id, place) the later stands in another document, or in the same one behind the end of the first."""
+    behind = F.shiftright(later["place"], 28) >= F.shiftright(first["place"], 28) + first["place"] % _PLACE
+    return (later["doc_id"] > first["doc_id"]) | ((later["doc_id"] == first["doc_id"]) & behind)
+
+
 def repeated_units(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
     """(doc_id, first_word, n_words, component_id, removed, equal, mate_id, mate_word, mate_words): the units that occur in
-    two documents or more, each with another document's unit of its component, an equal one where there is one.
+    two documents or more, or at two places of one, each with another unit of its component, an equal one where there is
+    one.
 
     Units are linked if the exact Jaccard similarity of their shingle sets is at least `similarity`; equal units are one
     node. The units that share a band are compared in blocks, so no frequent passage lands in one task. Of a component
-    the units of its smallest doc_id stay and the others are to be removed.
+    the first unit of its smallest doc_id stays, with what overlaps it there, and the others are to be removed.
     """
     plain = _plain(docs, text)
     keys = plain.mapInArrow(_keys, "key long, node long, doc_id long, place long")
-    often = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    often = stage(often.where("low < high").select("key"), "unit-keys")
+    at = F.struct("doc_id", "place")
+    often = keys.groupBy("key").agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    often = stage(often.where(_apart(F.col("b"), F.col("a"))).select("key"), "unit-keys")
     hits = stage(keys.join(often, "key").select("key", "node", "doc_id", "place"), "unit-hits")
     release(often)
     held = stage(hits.groupBy("node", "doc_id", "place").agg(F.lit(1).alias("one")).select("node", "doc_id", "place"), "unit-places")
@@ -202,22 +216,21 @@ def repeated_units(docs: DataFrame, similarity: float = SIMILARITY, text: str =
     release(held, compared, places, sets, families)
 
     def ends(by: str) -> DataFrame:
-        """The first and the last document of each node or component, and a place in each."""
-        most = named.groupBy(by).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min_by("place", "doc_id").alias("pa"), F.min_by("place", F.negate("doc_id")).alias("pb"))
-        return stage(most.where("a < b"), f"{by}-ends")
+        """The first and the last place of each node or component, if they are two."""
+        most = named.groupBy(by).agg(F.min(at).alias("a"), F.max(at).alias("b"))
+        return stage(most.where(_apart(F.col("b"), F.col("a"))), f"{by}-ends")
 
     def mate(x: DataFrame) -> Column:
-        later = F.col("doc_id") > x["a"]
-        return F.when(later, F.struct(x["a"].alias("id"), x["pa"].alias("place"))).otherwise(F.struct(x["b"].alias("id"), x["pb"].alias("place")))
+        return F.when(_apart(F.struct("doc_id", "place"), x["a"]), x["a"]).otherwise(x["b"])
 
     of_all, of_equal = ends("component_id"), ends("node")
-    joined = named.join(of_all, "component_id").withColumn("removed", F.col("doc_id") > of_all["a"]).withColumn("mate", mate(of_all)).drop("a", "b", "pa", "pb")
+    joined = named.join(of_all, "component_id").withColumn("removed", _apart(at, of_all["a"])).withColumn("mate", mate(of_all)).drop("a", "b")
     joined = joined.join(of_equal, "node", "left")
     equal = of_equal["a"].isNotNull()
     joined = joined.select("doc_id", "place", "component_id", "removed", equal.alias("equal"), F.when(equal, mate(of_equal)).otherwise(F.col("mate")).alias("mate"))
     first, number = (lambda c: F.shiftright(c, 28).cast("int")), (lambda c: (F.col(c) % _PLACE).cast("int"))
     return joined.select(
-        "doc_id", first("place").alias("first_word"), number("place").alias("n_words"), "component_id", "removed", "equal", F.col("mate.id").alias("mate_id"),
+        "doc_id", first("place").alias("first_word"), number("place").alias("n_words"), "component_id", "removed", "equal", F.col("mate.doc_id").alias("mate_id"),
         first("mate.place").alias("mate_word"), number("mate.place").alias("mate_words"),
     )
 
@@ -288,7 +301,7 @@ def _extended(docs: DataFrame, edges: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, first_word, last_word, n_words, n_windows, component_id, removed): the stretches of words that repeat in
-    another document. Overlapping or touching units of a document are joined where they are alike in being removed or
+    another document, or in the same one. Overlapping or touching units of a document are joined where they are alike in being removed or
     kept, and extended on both sides as far as their words equal those around the other document's unit, or up to the
     next stretch. Words count
     from 0, last_word is inside, n_windows is the number of units, and component_id is that of the first. Documents
@@ -348,7 +361,10 @@ def remove_passages(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
                             low = at[min(s["last_word"], len(at) - 1)][1]
                     texts[k] = "".join([*out, texts[k][low:]])
             columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=plain)
 
+    # Plain names while Python has the rows: those of docs may hold dots.
+    plain = [f"c{i}" for i in range(len(names))]
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(plain, docs.schema, strict=True)])
     joined = docs.join(spans, docs["doc_id"].cast("long") == spans["id"], "left")
-    return joined.select(*[docs[c] for c in names], spans["spans"].alias("passage spans")).mapInArrow(run, docs.schema)
+    return joined.select(*[docs[f"`{c}`"].alias(n) for c, n in zip(names, plain, strict=True)], spans["spans"].alias("s")).mapInArrow(run, schema).toDF(*names)
