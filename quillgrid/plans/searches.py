@@ -9,6 +9,8 @@ from quillgrid.operators import criteria as C
 from quillgrid.operators import filters as FL
 from quillgrid.operators import pivot as P
 from quillgrid.operators import ranks as RK
+from quillgrid.operators import rectangles as RT
+from quillgrid.operators import reshape as R
 from quillgrid.operators import row_criteria as RC
 from quillgrid.operators.row_criteria import By
 from quillgrid.plans.kinds import mixed
@@ -126,3 +128,86 @@ def avedev_mixed(spark, sf_dir):
     cells = mixed(spark, sf_dir).withColumn("number", A.numbers(booleans=False))
     found, text, above = A.AVEDEV(cells, "number"), A.AVEDEV(cells, "txt"), FL.filter_average(cells, "number").agg(F.count("*").alias("above"))
     return found.select(r("avedev").alias("avedev")).join(text.select(F.col("avedev").alias("of_text"))).join(above)
+
+
+_CELLS = """c AS (SELECT o_orderkey + 1 AS row, 1 AS col, o_custkey::DOUBLE AS x FROM orders UNION ALL SELECT o_orderkey + 1, 2, o_totalprice FROM orders)"""
+
+
+def order_cells(spark, sf_dir):
+    """Cells of the orders: the customer in column 1, the price in column 2."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("at"), F.col("o_custkey").cast("double").alias("customer"), "o_totalprice")
+    return R.to_cells(o, "at", sheet="orders", columns=["customer", "o_totalprice"])
+
+
+def _rectangles(keys, k: str, rows: int = 10_000, height: int = 400):
+    """A rectangle of the sheet for each key."""
+    top, left = (F.col(k) * 37) % rows + 1, F.col(k) % 2 + 1
+    return keys.select(F.lit("orders").alias("sheet"), F.col(k).alias("id"), "*", top.alias("top"), left.alias("left"), (top + (F.col(k) * F.col(k)) % height).alias("bottom"), F.lit(2).alias("right"))
+
+
+@query(f"""WITH {_CELLS}, r AS (SELECT c_custkey AS id, c_custkey % 17 AS priority, c_custkey % 5 = 0 AS stop, c_custkey % 3 AS k, abs(c_acctbal) * 30 AS a, (c_custkey * 37) % 10000 + 1 AS top,
+    c_custkey % 2 + 1 AS lft, (c_custkey * 37) % 10000 + 1 + (c_custkey * c_custkey) % 400 AS bottom FROM customer),
+    m AS (SELECT row, col, id, stop, row_number() OVER (PARTITION BY row, col ORDER BY priority, id) AS n FROM c JOIN r ON row BETWEEN top AND bottom AND col BETWEEN lft AND 2
+        AND CASE k WHEN 0 THEN x > a WHEN 1 THEN x < a ELSE x BETWEEN a AND a + 50000 END),
+    s AS (SELECT *, coalesce(min(CASE WHEN stop THEN n END) OVER (PARTITION BY row, col), 1000000) AS until FROM m)
+    SELECT row, col, count(*) AS n_rules, sum(id) AS ids, min(CASE WHEN n = 1 THEN id END) AS first FROM s WHERE n <= until GROUP BY row, col""")
+def rules_on_ranges(spark, sf_dir):
+    """A rule for each customer on a range of its own, by all cells of the orders, with priorities and stop-if-true."""
+    k = F.col("c_custkey") % 3
+    a = F.abs("c_acctbal") * 30
+    rules = _rectangles(table(spark, sf_dir, "customer"), "c_custkey").select(
+        "sheet", "id", (F.col("id") % 17).alias("priority"), (F.col("id") % 5 == 0).alias("stop"), F.when(k == 0, "greaterThan").when(k == 1, "lessThan").otherwise("between").alias("op"),
+        a.alias("a"), (a + 50000).alias("b"), F.lit(None).cast("string").alias("said"), "top", "left", "bottom", "right",
+    )
+    found = RT.applied_rules(order_cells(spark, sf_dir), rules)
+    return found.select("row", "col", F.size("rules").alias("n_rules"), F.aggregate("rules", F.lit(0).cast("long"), lambda s, x: s + x).alias("ids"), "first")
+
+
+@query(f"""WITH {_CELLS}, r AS (SELECT s_suppkey AS id, s_suppkey % 4 AS k, (s_suppkey * 37) % 10000 + 1 AS top, s_suppkey % 2 + 1 AS lft, (s_suppkey * 37) % 10000 + 1 + (s_suppkey * s_suppkey) % 4000 AS bottom FROM supplier),
+    p AS (SELECT id, k, row, col, x, avg(x) OVER w AS mean, row_number() OVER (PARTITION BY id ORDER BY x DESC) AS n, count(*) OVER (PARTITION BY id, x) AS same FROM c JOIN r ON row BETWEEN top AND bottom AND col BETWEEN lft AND 2
+        WINDOW w AS (PARTITION BY id)),
+    e AS (SELECT id, min(CASE WHEN n <= 5 THEN x END) AS edge FROM p GROUP BY id)
+    SELECT id, count(*) AS n, round(sum(x), 2) AS total FROM p JOIN e USING (id) WHERE CASE k WHEN 0 THEN x > mean WHEN 1 THEN x >= edge WHEN 2 THEN same > 1 ELSE same = 1 END GROUP BY id""")
+def relative_rules_on_ranges(spark, sf_dir):
+    """Rules that look at all cells of their ranges: above average, top 5, duplicates, unique values; a rule for each supplier."""
+    k, none = F.col("s_suppkey") % 4, F.lit(None).cast("string")
+    op = F.when(k == 0, "aboveAverage").when(k == 1, "top").when(k == 2, "duplicateValues").otherwise("uniqueValues")
+    rules = _rectangles(table(spark, sf_dir, "supplier"), "s_suppkey", height=4000).select(
+        "sheet", "id", F.col("id").alias("priority"), F.lit(False).alias("stop"), op.alias("op"), F.lit(5.0).alias("a"), F.lit(None).cast("double").alias("b"), none.alias("said"), "top", "left", "bottom", "right",
+    )
+    cells = order_cells(spark, sf_dir)
+    found = RT.applied_rules(cells, rules).select("row", "col", F.explode("rules").alias("id")).join(cells.select("row", "col", "num"), ["row", "col"])
+    return found.groupBy("id").agg(F.count("*").alias("n"), r(F.sum("num"), 2).alias("total"))
+
+
+@query(f"""WITH {_CELLS}, r AS (SELECT s_suppkey AS id, s_suppkey % 2 AS k, (s_suppkey * 37) % 10000 + 1 AS top, s_suppkey % 2 + 1 AS lft, (s_suppkey * 37) % 10000 + 1 + (s_suppkey * s_suppkey) % 400 AS bottom FROM supplier)
+    SELECT id, count(*) FILTER (CASE k WHEN 0 THEN x BETWEEN 1000 AND 90000 AND x = floor(x) ELSE x < 120000 END) AS valid, count(*) AS cells FROM c JOIN r ON row BETWEEN top AND bottom AND col BETWEEN lft AND 2 GROUP BY id""")
+def validations_on_ranges(spark, sf_dir):
+    """A validation of whole or decimal numbers on a range of its own for each supplier."""
+    whole = F.col("s_suppkey") % 2 == 0
+    rules = _rectangles(table(spark, sf_dir, "supplier"), "s_suppkey").select(
+        "sheet", "id", F.when(whole, "whole").otherwise("decimal").alias("rule"), F.when(whole, "between").otherwise("lessThan").alias("op"), F.when(whole, 1000.0).otherwise(120000.0).alias("a"),
+        F.lit(90000.0).alias("b"), F.lit(None).cast("array<string>").alias("items"), "top", "left", "bottom", "right",
+    )
+    return RT.validated(order_cells(spark, sf_dir), rules).groupBy("id").agg(F.count_if("valid").alias("valid"), F.count("*").alias("cells"))
+
+
+_PART_RECTANGLES = """r AS (SELECT p_partkey AS id, (p_partkey * 37) % 10000 + 1 AS top, p_partkey % 2 + 1 AS lft, (p_partkey * 37) % 10000 + 1 + (p_partkey * p_partkey) % 60 AS bottom FROM part)"""
+
+
+@query(f"WITH {_PART_RECTANGLES} SELECT a.id, count(*) AS n, sum(b.id) AS others FROM r a JOIN r b ON a.id < b.id AND a.top <= b.bottom AND b.top <= a.bottom AND a.lft <= 2 AND b.lft <= 2 GROUP BY a.id")
+def overlapping_ranges(spark, sf_dir):
+    """Which ranges of the parts have cells in common."""
+    found = RT.overlapping(_rectangles(table(spark, sf_dir, "part"), "p_partkey", height=60))
+    return found.groupBy("id").agg(F.count("*").alias("n"), F.sum("other").alias("others"))
+
+
+@query(f"""WITH {_CELLS}, {_PART_RECTANGLES}, h AS (SELECT row, col, min(id) AS id, bool_and(row = top AND col = lft) AS anchor FROM c JOIN r ON row BETWEEN top AND bottom AND col BETWEEN lft AND 2 GROUP BY row, col)
+    SELECT count(*) AS shown, round(sum(x), 2) AS total, (SELECT count(*) FROM c) AS cells, (SELECT sum(top) + sum(lft) FROM h JOIN r USING (id)) AS anchors FROM c ANTI JOIN (SELECT * FROM h WHERE NOT anchor) USING (row, col)""")
+def merged_ranges(spark, sf_dir):
+    """What is shown with a range of each part merged, and the top left cells of those that hold cells."""
+    cells, areas = order_cells(spark, sf_dir), _rectangles(table(spark, sf_dir, "part"), "p_partkey", height=60)
+    shown = RT.merged(cells, areas).agg(F.count("*").alias("shown"), r(F.sum("num"), 2).alias("total"))
+    held = RT.covering(cells.select("sheet", "row", "col"), areas.select("sheet", "id", "top", "left", "bottom", "right")).select("row", "col").distinct()
+    at = RT.anchored(cells, areas).join(held, ["row", "col"]).agg(F.sum(F.col("anchor_row") + F.col("anchor_col")).alias("anchors"))
+    return shown.join(cells.agg(F.count("*").alias("cells"))).join(at)
