@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillgrid.operators import aggregates as A
 from quillgrid.operators import criteria as C
 from quillgrid.operators import filters as FL
+from quillgrid.operators import lookup as L
 from quillgrid.operators import pivot as P
 from quillgrid.operators import ranks as RK
 from quillgrid.operators import rectangles as RT
@@ -211,3 +212,29 @@ def merged_ranges(spark, sf_dir):
     held = RT.covering(cells.select("sheet", "row", "col"), areas.select("sheet", "id", "top", "left", "bottom", "right")).select("row", "col").distinct()
     at = RT.anchored(cells, areas).join(held, ["row", "col"]).agg(F.sum(F.col("anchor_row") + F.col("anchor_col")).alias("anchors"))
     return shown.join(cells.agg(F.count("*").alias("cells"))).join(at)
+
+
+_SCAN = """k AS (SELECT p_partkey, p_retailprice AS key, row_number() OVER (ORDER BY p_partkey) AS pos FROM part),
+    a AS (SELECT o_orderkey, 800 + floor(o_totalprice)::BIGINT % 1400 AS x FROM orders),
+    d AS (SELECT DISTINCT x FROM a),
+    s AS (SELECT x, coalesce((SELECT min(pos) FROM k WHERE key > x), (SELECT count(*) + 1 FROM k)) AS stop FROM d),
+    f AS (SELECT x, stop, (SELECT min(pos) FROM k WHERE key = x AND pos < stop) AS equal FROM s),
+    e AS (SELECT x, coalesce(equal, nullif(stop - 1, 0)) AS pos FROM f)"""
+
+
+@query(f"WITH {_SCAN} SELECT o_orderkey, p_partkey AS part, CASE WHEN p_partkey IS NULL THEN '#N/A' END AS part_error FROM a JOIN e USING (x) LEFT JOIN k ON k.pos = e.pos")
+def vlookup_unsorted(spark, sf_dir):
+    """Approximate VLOOKUP over the parts' prices in the order of their keys, which is not that of the prices: a scan that
+    stops at the first greater one."""
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.floor("o_totalprice") % 1400 + 800).alias("x"))
+    return L.vlookup_scan(asked, "x", table(spark, sf_dir, "part"), "p_retailprice", "p_partkey", "p_partkey", name="part").select("o_orderkey", "part", "part_error")
+
+
+_FALLING = _SCAN.replace("WHERE key > x", "WHERE key < x")
+
+
+@query(f"WITH {_FALLING} SELECT o_orderkey, e.pos AS position, CASE WHEN e.pos IS NULL THEN '#N/A' END AS position_error FROM a JOIN e USING (x)")
+def match_unsorted(spark, sf_dir):
+    """MATCH with type -1 over the same table: a scan that stops at the first smaller price."""
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.floor("o_totalprice") % 1400 + 800).alias("x"))
+    return L.match_scan(asked, "x", table(spark, sf_dir, "part"), "p_retailprice", "p_partkey", -1).select("o_orderkey", "position", "position_error")
