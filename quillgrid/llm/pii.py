@@ -3,7 +3,8 @@
 A term discloses a protected value e of its text if knowing the term tells most of what the value tells. With
 IC(e) = log2(N / N(e)) and PMI(e; t) = IC(e) + log2(N(t, e) / (N(t) + PRIOR)), the disclosure is PMI / IC: near 1 if the
 term hardly occurs without the value, lower by the smoothing the fewer texts show it. All counts are of different texts
-over the whole corpus, so copies do not count twice, and a term meets a value wherever in a text the two stand.
+over the whole corpus, so copies do not count twice, and a term meets a value wherever in a text the two stand. A term must
+have met the value, or values of its class (one domain, one network, one issuer), in JOINT texts at least.
 """
 
 from __future__ import annotations
@@ -15,12 +16,16 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quillgrid.llm.tables import bounded_batches, stage
 
 KINDS = ("email", "ip", "card", "phone")
 #: Texts without the value that a term is taken to have occurred in besides the counted ones.
 PRIOR = 1.0
+#: Texts in which a term must have met a value, or one of its class, to count as evidence: a word that stands beside a value
+#: once says nothing, in a corpus of any size.
+JOINT = 3
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.9, 0.97
 #: The most frequent terms are dropped before any join if they are too frequent to disclose anything: at most so many.
@@ -84,12 +89,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _entity(kind: str, value: str) -> int:
-    """One number for a protected value however it is written."""
-    plain = value.lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", value)
+def _named(kind: str, plain: str) -> int:
     return int.from_bytes(sha256(f"{kind}:{plain}".encode()).digest()[:8], "little", signed=True)
 
 
+def protected(kind: str, value: str) -> list[int]:
+    """Numbers for a value, however it is written, and for its class, so that values of one text each count together: an
+    address's domain, the first three parts of an ip, a card's issuer, a phone's first five digits."""
+    plain = value.lower() if kind in ("email", "ip") else value if kind == "secret" else re.sub("[^0-9]", "", value)
+    class_ = {"email": plain.rpartition("@")[2], "ip": plain.rpartition(".")[0], "card": plain[:6], "phone": plain[:5]}.get(kind)
+    return [_named(kind, plain), *([_named(f"{kind} class", class_)] if class_ else [])]
+
+
 def secret_spans(text: str) -> list[tuple[str, int, int]]:
     """(secret, start, stop) of credentials written as name = value, of 16 characters or more."""
     out = []
@@ -127,7 +138,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for value in batch.column(2):
             text = value.as_py() or ""
             spans, secrets = base_spans(text), secret_spans(text)
-            entities = list({_entity(k, text[a:b]) for k, a, b in spans + secrets})
+            entities = list({e for k, a, b in spans + secrets for e in protected(k, text[a:b])})
             joined, more = (",".join(f"{k}:{a}:{b}" for k, a, b in x) for x in (spans, secrets))
             counts = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
             words = _words(text, spans + secrets) if entities else []
@@ -170,7 +181,7 @@ def disclosure(total: float, n_entity: Column, n_both: Column, n_term: Column) -
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, text_key, start, stop, disclosure): the words of at least GENERALISE in texts with a protected value,
-    by the value that each discloses most; found is scan(docs)."""
+    by the value, or class of values, that each discloses most, of those it met in JOINT texts or more; found is scan(docs)."""
     valued = found.where(F.size("entities") > 0)
     met = stage(valued.select("text_key", F.explode("entities").alias("entity")).distinct(), "pii-values")
     n_entity = stage(met.groupBy("entity").agg(F.count("*").alias("n_entity")), "pii-value-counts")
@@ -186,18 +197,15 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> D
     spoken = valued.select("doc_id", "text_key", F.explode("words").alias("w"))
     spoken = spoken.select("doc_id", "text_key", F.xxhash64(F.lower("w.word")).alias("term"), "w.start", "w.stop")
     spoken = stage(spoken.join(F.broadcast(common), "term", "left_anti"), "pii-words")  # at most COMMON_TERMS rows
-    rare = counts.where(F.col("n_term") <= limit)
+    # Only terms and values of JOINT texts or more can have met in as many.
+    rare = counts.where((F.col("n_term") <= limit) & (F.col("n_term") >= JOINT))
     said = stage(spoken.select("text_key", "term").distinct().join(rare, "term"), "pii-said")
-    sized = met.join(n_entity, "entity")
-    # Of a value in one text only, every term of the text has n_both = 1: no pairs are needed.
-    lone = sized.where("n_entity = 1").select("text_key").distinct()
-    once = said.join(lone, "text_key").select("text_key", "term", disclosure(total, F.lit(1), F.lit(1), F.col("n_term")).alias("disclosure"))
-    shared = sized.where("n_entity > 1").join(said, "text_key")
+    shared = met.join(n_entity.where(F.col("n_entity") >= JOINT), "entity").join(said, "text_key")
     reach = F.pow("n_entity", F.lit(GENERALISE)) * F.pow(F.lit(float(total)), F.lit(1 - GENERALISE)) - PRIOR
     pairs = stage(shared.where(F.col("n_term") <= reach + 1e-6).select("text_key", "entity", "term", "n_entity", "n_term"), "pii-pairs")
-    both = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both"))
+    both = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= JOINT)
     rules = both.select("entity", "term", disclosure(total, F.col("n_entity"), F.col("n_both"), F.col("n_term")).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
-    told = once.where(F.col("disclosure") >= GENERALISE).unionByName(pairs.join(rules, ["entity", "term"]).select("text_key", "term", "disclosure"))
+    told = pairs.join(rules, ["entity", "term"]).select("text_key", "term", "disclosure")
     scores = stage(told.groupBy("text_key", "term").agg(F.max("disclosure").alias("disclosure")), "pii-scores")
     return spoken.join(scores, ["text_key", "term"]).select("doc_id", "text_key", "start", "stop", "disclosure")
 
@@ -251,6 +259,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
     key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     joined = docs.join(extra, docs["doc_id"].cast("long").eqNullSafe(extra["id"]) & (key == extra["key"]), "left")
     place, names = docs.columns.index("text"), docs.columns
+    # Plain names while Python has the rows: those of docs may hold dots.
+    plain = [f"c{i}" for i in range(len(names))]
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(plain, docs.schema, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,6 +269,6 @@ def sanitise(docs: DataFrame) -> DataFrame:
             marks = columns.pop().to_pylist()
             texts = [None if t is None else redact(t, x) for t, x in zip(columns[place].to_pylist(), marks, strict=True)]
             columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=plain)
 
-    return joined.select(*[docs[c] for c in names], extra["extra"].alias("pii extra")).mapInArrow(run, docs.schema)
+    return joined.select(*[docs[f"`{c}`"].alias(n) for c, n in zip(names, plain, strict=True)], extra["extra"].alias("extra")).mapInArrow(run, schema).toDF(*names)
