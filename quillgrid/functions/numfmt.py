@@ -128,16 +128,47 @@ def _date(x: Column, code: str) -> Column:
 
 
 def _fraction(x: Column, places: int) -> Column:
-    """Nearest fraction with a denominator of that many digits: all denominators are tried, the smallest wins ties."""
+    """Nearest fraction with a denominator of that many digits, the smallest of equally near ones: the convergents of the
+    continued fraction by one fold, and where the next is too large the last step that still fits."""
+    most = F.lit(float(10**places - 1))
     whole = F.floor(F.abs(x))
     rest = F.abs(x) - whole
-    tries = F.transform(F.sequence(F.lit(1), F.lit(10**places - 1)), lambda d: F.struct(F.round(F.abs(rest - F.round(rest * d) / d), 12).alias("off"), d.alias("d"), F.round(rest * d).cast("int").alias("n")))
-    best = F.array_min(tries)
-    carry = best["n"] == best["d"]
-    left = (whole + F.when(carry, 1).otherwise(0)).cast("bigint").cast("string")
-    part = F.concat(best["n"].cast("string"), F.lit("/"), best["d"].cast("string"))
-    shown = F.when((best["n"] == 0) | carry, left).when(whole == 0, part).otherwise(F.concat(left, F.lit(" "), part))
-    return F.concat(F.when(x < 0, "-").otherwise(""), shown)
+    names = ("x", "n2", "d2", "n1", "d1", "done")
+    state = lambda *values: F.struct(*[v.alias(n) for v, n in zip(values, names, strict=True)])
+    one, zero, no, yes = F.lit(1.0), F.lit(0.0), F.lit(False), F.lit(True)
+
+    def let(value: Column, then) -> Column:
+        """then(value), of which value is worked out once."""
+        return F.get(F.transform(F.array(value), then), F.lit(0))
+
+    def step(s, _):
+        near = F.round(s["x"])
+        a = F.when(F.abs(s["x"] - near) < 1e-9 * near, near).otherwise(F.floor(s["x"]).cast("double"))
+        return F.when(s["done"], s).otherwise(let(F.struct(a.alias("a"), (a * s["n1"] + s["n2"]).alias("n"), (a * s["d1"] + s["d2"]).alias("d")), lambda v: onward(s, v)))
+
+    def onward(s, v):
+        t = F.floor((most - s["d2"]) / F.greatest(s["d1"], one)).cast("double")
+        part = F.struct((t * s["n1"] + s["n2"]).alias("n"), (t * s["d1"] + s["d2"]).alias("d"))
+        left = s["x"] - v["a"]
+        end = left <= 1e-9 * F.greatest(v["a"], one)
+        on = state(F.when(end, zero).otherwise(1 / F.when(end, one).otherwise(left)), s["n1"], s["d1"], v["n"], v["d"], end)
+        return F.when(v["d"] > most, let(part, lambda q: last(s, q))).otherwise(on)
+
+    def last(s, q):
+        off = lambda u, v: F.round(F.abs(rest - u / F.greatest(v, one)), 12)
+        nearer = (q["d"] >= 1) & (off(q["n"], q["d"]) < off(s["n1"], s["d1"]))
+        return state(zero, s["n2"], s["d2"], F.when(nearer, q["n"]).otherwise(s["n1"]), F.when(nearer, q["d"]).otherwise(s["d1"]), yes)
+
+    def shown(b):
+        carry = b["n"] == b["d"]
+        left = (whole + F.when(carry, 1).otherwise(0)).cast("bigint").cast("string")
+        part = F.concat(b["n"].cast("string"), F.lit("/"), b["d"].cast("string"))
+        return F.when((b["n"] == 0) | carry, left).when(whole == 0, part).otherwise(F.concat(left, F.lit(" "), part))
+
+    # Denominators grow at least as the Fibonacci numbers do.
+    steps = F.sequence(F.lit(1), F.lit(3 + 5 * places))
+    best = F.aggregate(steps, state(rest, zero, one, one, zero, no), step, lambda s: F.struct(s["n1"].cast("bigint").alias("n"), s["d1"].cast("bigint").alias("d")))
+    return F.concat(F.when(x < 0, "-").otherwise(""), let(best, shown))
 
 
 def format_number(x: Column, code: str | int) -> Column:

@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillgrid.functions import dates as DT
+from quillgrid.functions import logic as LG
+from quillgrid.functions import mathematics as M
+from quillgrid.functions import numfmt
+from quillgrid.functions import strings as S
+from quillgrid.functions.cells import Cell, num, text
 from quillgrid.operators import aggregates as A
 from quillgrid.operators import criteria as C
 from quillgrid.operators import filters as FL
@@ -13,6 +19,7 @@ from quillgrid.operators import ranks as RK
 from quillgrid.operators import rectangles as RT
 from quillgrid.operators import reshape as R
 from quillgrid.operators import row_criteria as RC
+from quillgrid.operators.ranges import Range
 from quillgrid.operators.row_criteria import By
 from quillgrid.plans.kinds import mixed
 from quillgrid.plans.ranges import r, table
@@ -238,3 +245,37 @@ def match_unsorted(spark, sf_dir):
     """MATCH with type -1 over the same table: a scan that stops at the first smaller price."""
     asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.floor("o_totalprice") % 1400 + 800).alias("x"))
     return L.match_scan(asked, "x", table(spark, sf_dir, "part"), "p_retailprice", "p_partkey", -1).select("o_orderkey", "position", "position_error")
+
+
+def _fraction_sql(places: int, x: str) -> str:
+    """The nearest fraction by trying all denominators."""
+    best = f"list_min(list_transform(range(1, {10**places}), lambda d: {{'o': round(abs(rest - round(rest * d) / d), 12), 'd': d, 'n': round(rest * d)::BIGINT}}))"
+    return f"(SELECT CASE WHEN b.n = 0 THEN w::VARCHAR WHEN b.n = b.d THEN (w + 1)::VARCHAR WHEN w = 0 THEN b.n || '/' || b.d ELSE w || ' ' || b.n || '/' || b.d END FROM (SELECT w, {best} AS b FROM (SELECT floor({x})::BIGINT AS w, {x} - floor({x}) AS rest)))"
+
+
+@query(f"""WITH v AS (SELECT DISTINCT l_quantity / 7 + l_discount * 10 / 3 + l_tax AS x FROM lineitem), f AS (SELECT x, {_fraction_sql(1, 'x')} AS one, {_fraction_sql(2, 'x')} AS two, {_fraction_sql(3, 'x')} AS three FROM v)
+    SELECT one, two, three, count(*) AS n FROM f GROUP BY ALL""")
+def numfmt_fractions(spark, sf_dir):
+    """Fraction formats of one to three digits: continued fractions."""
+    x = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 7 + F.col("l_discount") * 10 / 3 + F.col("l_tax")).alias("x")).distinct()
+    shown = [numfmt.format_number(F.col("x"), c).alias(n) for c, n in (("# ?/?", "one"), ("# ??/??", "two"), ("# ???/???", "three"))]
+    return x.select(*shown).groupBy("one", "two", "three").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, second(ts)::DOUBLE AS second, 'Automatic' AS recalc, '#N/A' AS na, true AS drawn, true AS today, event_type AS link, '=' || event_type AS formula,
+    3.0 * (event_id % 5 + 1) AS cells, upper(event_type[1]) || lower(event_type[2:]) AS proper, 'A1 ' || event_type AS narrow FROM events""")
+def functions_of_rows(spark, sf_dir):
+    """SECOND, INFO, NA, RAND, RANDBETWEEN, TODAY, NOW, HYPERLINK, FORMULATEXT, ROWS, COLUMN, AREAS, PROPER and ASC."""
+    e = table(spark, sf_dir, "events")
+    low, high = num((F.col("event_id") % 7).cast("double")), num((F.col("event_id") % 7 + 9).cast("double"))
+    rand, between, now, today = M.RAND(), M.RANDBETWEEN(low, high), DT.NOW(), DT.TODAY()
+    area = Range.of("B2:D4")
+    drawn = e.withColumn("r", rand.value).withColumn("b", between.value)
+    inside = (F.col("r") >= 0) & (F.col("r") < 1) & F.col("b").between(low.value, high.value) & (F.col("b") == F.floor("b"))
+    days = F.datediff(F.current_date(), F.lit("1899-12-30").cast("date"))
+    return drawn.select(
+        "event_id", F.round(DT.SECOND(Cell("num", DT.serial_of_timestamp(F.col("ts")))).value, 6).alias("second"), LG.INFO("recalc").value.alias("recalc"), LG.NA_VALUE().error.alias("na"), inside.alias("drawn"),
+        ((today.value == days) & (F.floor(now.value) == days)).alias("today"), LG.HYPERLINK(text(F.lit("https://x.example")), text(F.col("event_type"))).value.alias("link"),
+        LG.FORMULATEXT(text(F.concat(F.lit("="), F.col("event_type")))).value.alias("formula"), (F.lit(float(area.ROWS() * area.AREAS())) * (F.col("event_id") % 5 + area.COLUMN() - 1)).alias("cells"),
+        S.PROPER(text(F.col("event_type"))).value.alias("proper"), S.ASC(text(F.concat(F.lit("Ａ１　"), F.col("event_type")))).value.alias("narrow"),
+    )
