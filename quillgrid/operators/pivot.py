@@ -94,9 +94,16 @@ def subtotals(df: DataFrame, rows: list[str], values: list[tuple[str, str, str]]
     return rolled.select(*shown, *[F.col(v[2]) for v in values], level.alias("level"))
 
 
+#: Combinations of items at most.
+ITEMS = 1_000_000
+
+
 def show_empty_items(pivoted: DataFrame, row_items: DataFrame, column_items: DataFrame) -> DataFrame:
     """Every combination of the (distinct) items of two axes, with NULL values where none occurs. Items are members of
-    axes, a set the size of a report, not rows."""
+    axes, a set the size of a report, not rows: more than ITEMS combinations are refused."""
+    numbers = [items.limit(ITEMS + 1).count() for items in (row_items, column_items)]
+    if numbers[0] * numbers[1] > ITEMS:
+        raise ValueError(f"the pivot would show more than {ITEMS} combinations of items")
     grid = row_items.crossJoin(column_items)
     return grid.join(pivoted, [*row_items.columns, *column_items.columns], "left")
 

@@ -187,10 +187,23 @@ def info(cells: DataFrame) -> DataFrame:
     return cells.groupBy("sheet").agg(F.count("*").alias("cells"), F.count("formula").alias("formulas"), F.max("row").alias("rows"), F.max("col").alias("columns"))
 
 
-def finance_grid(spark, dimensions: dict[str, list[str]], scenarios: list[str] | None = None) -> DataFrame:
-    """Every combination of dimension members and scenarios; empty dimensions read n/a, no scenario base. The lists are
-    a model's own, given by the caller."""
-    out = spark.createDataFrame([(s,) for s in scenarios or ["base"]], "scenario string")
+#: Cells of a grid at most.
+GRID = 10_000_000
+
+
+def finance_grid(spark, dimensions: dict[str, list[str] | DataFrame], scenarios: list[str] | None = None) -> DataFrame:
+    """Every combination of dimension members and scenarios; empty dimensions read n/a, no scenario base. A dimension is a
+    list, or a DataFrame of one column whose different values are its members. A grid of more than GRID cells is refused."""
+    out, cells = spark.createDataFrame([(s,) for s in scenarios or ["base"]], "scenario string"), len(scenarios or ["base"])
     for name, members in dimensions.items():
-        out = out.crossJoin(spark.createDataFrame([(m,) for m in members or ["n/a"]], f"`{name}` string"))
+        if isinstance(members, DataFrame):
+            known = members.select(F.col(f"`{members.columns[0]}`").cast("string").alias(name)).distinct()
+            n = known.limit(GRID + 1).count()
+            own = known if n else spark.createDataFrame([("n/a",)], f"`{name}` string")
+        else:
+            n, own = len(members), spark.createDataFrame([(m,) for m in members or ["n/a"]], f"`{name}` string")
+        cells *= max(1, n)
+        if cells > GRID:
+            raise ValueError(f"the grid has more than {GRID} cells")
+        out = out.crossJoin(own)
     return out

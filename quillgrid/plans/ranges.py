@@ -101,11 +101,12 @@ def product_by_flag(spark, sf_dir):
     return li.withColumn("g", 1 + F.col("l_tax") / 1e6).groupBy("l_returnflag").agg(r(1e6 * F.ln(A.PRODUCT("g")), 3).alias("log_grown"))
 
 
-@query("SELECT 1.0 * 3 AS gcd, 2520.0 AS lcm")
+@query("""SELECT list_reduce((SELECT list(DISTINCT (p_size * 6)::BIGINT) FROM part), lambda a, b: gcd(a, b))::DOUBLE AS gcd,
+    list_reduce((SELECT list(DISTINCT (n_nationkey)::BIGINT) FROM nation WHERE n_nationkey > 0), lambda a, b: lcm(a, b))::DOUBLE AS lcm""")
 def gcd_lcm_constants(spark, sf_dir):
-    """GCD of 12, 18, 27 and LCM of 1 to 10 over a column."""
-    a = A.GCD_LCM(spark.createDataFrame([(x,) for x in (12, 18, 27)], "x int"), "x").select("gcd")
-    b = A.GCD_LCM(spark.range(1, 11).withColumnRenamed("id", "x"), "x").select("lcm")
+    """GCD of six times the parts' sizes, LCM of the nations' keys."""
+    a = A.GCD_LCM(table(spark, sf_dir, "part").select((F.col("p_size") * 6).alias("x")), "x").select("gcd")
+    b = A.GCD_LCM(table(spark, sf_dir, "nation").where("n_nationkey > 0"), "n_nationkey").select("lcm")
     return a.join(F.broadcast(b))
 
 

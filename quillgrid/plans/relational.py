@@ -324,10 +324,12 @@ def lint_cache_mismatch(spark, sf_dir):
     return T.lint_cache(li, "l_extendedprice", F.round(F.col("l_extendedprice") / F.col("l_quantity"), 1) * F.col("l_quantity")).select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT scenario, region, r_name AS member FROM (VALUES ('base'), ('high')) s(scenario) CROSS JOIN (VALUES ('EU'), ('US')) t(region) CROSS JOIN (VALUES ('n/a')) u(r_name)")
+@query("""SELECT scenario, r_name AS region, brand, 'n/a' AS member FROM (VALUES ('base'), ('high')) s(scenario) CROSS JOIN (SELECT DISTINCT r_name FROM region)
+    CROSS JOIN (SELECT DISTINCT p_brand AS brand FROM part)""")
 def finance_grid(spark, sf_dir):
-    """A model's grid of scenarios and members."""
-    return R.finance_grid(spark, {"region": ["EU", "US"], "member": []}, ["base", "high"])
+    """A model's grid of scenarios, regions and brands; the dimension without members reads n/a."""
+    brands = table(spark, sf_dir, "part").select("p_brand")
+    return R.finance_grid(spark, {"region": table(spark, sf_dir, "region").select("r_name"), "brand": brands, "member": []}, ["base", "high"])
 
 
 @query("SELECT n_name AS id, CASE WHEN n_nationkey < 2 THEN 'new' || n_nationkey ELSE 'old' END AS text FROM nation")
