@@ -99,7 +99,7 @@ def median_by_flag(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT c_nationkey, list_sort(list(c_acctbal)) AS l FROM customer GROUP BY c_nationkey)
-    SELECT c_nationkey, l[len(l)] AS large_1, l[len(l) - 9] AS large_10, CASE WHEN len(l) >= 400 THEN l[len(l) - 399] END AS large_400, l[3] AS small_3 FROM s""")
+    SELECT c_nationkey, l[len(l)] AS large_1, CASE WHEN len(l) >= 10 THEN l[len(l) - 9] END AS large_10, CASE WHEN len(l) >= 400 THEN l[len(l) - 399] END AS large_400, l[3] AS small_3 FROM s""")
 def ranks_in_groups(spark, sf_dir):
     """LARGE and SMALL within groups, beyond a group's size too."""
     c = table(spark, sf_dir, "customer")
