@@ -26,6 +26,8 @@ PRIOR = 1.0
 #: Texts in which a term must have met a value, or one of its class, to count as evidence: a word that stands beside a value
 #: once says nothing, in a corpus of any size.
 JOINT = 3
+#: Bits that a value, or class, must tell to be protected: one that is in more than an eighth of the texts names nobody.
+LEAST_CONTENT = 3
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.9, 0.97
 #: The most frequent terms are dropped before any join if they are too frequent to disclose anything: at most so many.
@@ -181,15 +183,17 @@ def disclosure(total: float, n_entity: Column, n_both: Column, n_term: Column) -
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, text_key, start, stop, disclosure): the words of at least GENERALISE in texts with a protected value,
-    by the value, or class of values, that each discloses most, of those it met in JOINT texts or more; found is scan(docs)."""
+    by the value, or class of values, that each discloses most, of those of LEAST_CONTENT bits or more that it met in JOINT
+    texts or more; found is scan(docs)."""
     valued = found.where(F.size("entities") > 0)
     met = stage(valued.select("text_key", F.explode("entities").alias("entity")).distinct(), "pii-values")
     n_entity = stage(met.groupBy("entity").agg(F.count("*").alias("n_entity")), "pii-value-counts")
+    total = max(2, found.select("text_key").distinct().count())
+    n_entity = n_entity.where(F.col("n_entity").between(JOINT, total / 2**LEAST_CONTENT))
     most = n_entity.agg(F.max("n_entity").alias("n")).first()["n"]
     empty = "doc_id long, text_key long, start int, stop int, disclosure double"
     if not most:
         return docs.sparkSession.createDataFrame([], empty)
-    total = max(2, found.select("text_key").distinct().count())
     counts = term_counts(docs, found, text)
     # A term of more texts cannot reach GENERALISE for any value: n_both is at most the value's own count.
     limit = most**GENERALISE * total ** (1 - GENERALISE) - PRIOR
@@ -200,7 +204,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> D
     # Only terms and values of JOINT texts or more can have met in as many.
     rare = counts.where((F.col("n_term") <= limit) & (F.col("n_term") >= JOINT))
     said = stage(spoken.select("text_key", "term").distinct().join(rare, "term"), "pii-said")
-    shared = met.join(n_entity.where(F.col("n_entity") >= JOINT), "entity").join(said, "text_key")
+    shared = met.join(n_entity, "entity").join(said, "text_key")
     reach = F.pow("n_entity", F.lit(GENERALISE)) * F.pow(F.lit(float(total)), F.lit(1 - GENERALISE)) - PRIOR
     pairs = stage(shared.where(F.col("n_term") <= reach + 1e-6).select("text_key", "entity", "term", "n_entity", "n_term"), "pii-pairs")
     both = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= JOINT)

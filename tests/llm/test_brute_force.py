@@ -67,7 +67,7 @@ def plain_disclosures(texts):
             best = 0.0
             for e in entities[t]:
                 content = math.log2(total / n_entity[e])
-                if content > 0 and both[e, bare.lower()] >= pii.JOINT:
+                if content >= pii.LEAST_CONTENT and both[e, bare.lower()] >= pii.JOINT:
                     best = max(best, 1 + math.log2(both[e, bare.lower()] / (n_term[bare.lower()] + pii.PRIOR)) / content)
             if best >= pii.GENERALISE:
                 at = m.start() + len(m[0]) - len(m[0].lstrip(pii._TRIM))
