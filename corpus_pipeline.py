@@ -22,13 +22,13 @@ _NAMES = ("pipeline lang_pred", "pipeline score")
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; texts without a letter and texts of no such language go
-    (by least scores learned from the same texts).
+    (by least scores learned from the same texts). All texts with a language teach, whole.
     Where no document has a language to learn from, all stay."""
     profiles = langid.fit(docs.select("doc_id", "text", "lang"))
     if not profiles:
         return docs
-    least = langid.least_scores(docs.select("doc_id", "text", "lang"), profiles)
-    judged = langid.identify(docs, profiles, names=_NAMES)
+    judged = stage(langid.identify(docs, profiles, names=_NAMES), "pipeline-judged")  # read for the scores and again for the rows
+    least = langid.least_scores(judged.where("lang IS NOT NULL"), _NAMES)
     lang, score = (F.col(f"`{x}`") for x in _NAMES)
     bar = F.lit(LEAST_SCORE)
     for name, low in least.items():

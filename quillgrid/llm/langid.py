@@ -13,17 +13,18 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quillgrid.llm.tables import bounded_batches
 
-#: n-grams of 1 to N_MAX letters; entries of a language's profile and of a document's; training texts a language.
+#: n-grams of 1 to N_MAX letters; entries of a language's profile and of a document's.
 N_MAX = 3
 PROFILE = 400
 DOCUMENT = 300
-TRAIN_ROWS = 1000
 #: Quantile of the learned texts' scores that least_scores starts from, and the share of it. At sf0.1 this gives 0.37 to
 #: 0.40; the lowest of the labelled texts is 0.41, program code 0.32, Finnish 0.20 and random letters 0.23.
 LOW, MARGIN = 0.05, 0.6
 UNKNOWN = "und"
 _B = np.uint64(21)
 _CHUNK = 1 << 18
+#: n-grams whose sums a training task holds.
+_HELD = 1 << 18
 
 
 def _letter_table() -> np.ndarray:
@@ -66,38 +67,32 @@ def letters(text: str) -> np.ndarray:
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(n-gram keys, counts) of a whole text. A key packs 21 bits a letter, a shorter n-gram being led by ones; n-grams
-    may begin or end with a word's edge but do not cross it."""
+    may begin or end with a word's edge but do not cross it. Every letter is the middle of one 3-gram, edges included,
+    so the 3-grams' counts hold those of the shorter ones."""
     codes = letters(text)
     keys: list[np.ndarray] = []
     counts: list[np.ndarray] = []
-    for low in range(0, len(codes), _CHUNK):  # scratch memory stays bounded on the longest texts
-        part = codes[low : low + _CHUNK + N_MAX - 1]
-        size = min(_CHUNK, len(part))
-        grams = []
-        for n in range(1, N_MAX + 1):
-            m = min(size, len(part) - n + 1)
-            if m <= 0:
-                continue
-            key = np.zeros(m, dtype=np.uint64)
-            inside = np.ones(m, dtype=bool)
-            for k in range(n):
-                key = (key << _B) | part[k : k + m]
-                if 0 < k < n - 1 or n == 1:
-                    inside &= part[k : k + m] > 0
-            if n == 2:
-                inside &= (part[:m] > 0) | (part[1 : 1 + m] > 0)
-            key |= np.uint64((1 << (63 - 21 * n)) - 1) << np.uint64(21 * n) if n < N_MAX else np.uint64(0)
-            grams.append(key[inside])
-        if grams:
-            k, c = np.unique(np.concatenate(grams), return_counts=True)
-            keys.append(k)
-            counts.append(c)
+    for low in range(0, len(codes) - 2, _CHUNK):  # scratch memory stays bounded on the longest texts
+        part = codes[low : low + _CHUNK + 2]
+        inside = part[1:-1] > 0
+        k, c = np.unique((part[:-2] << 2 * _B | part[1:-1] << _B | part[2:])[inside], return_counts=True)
+        keys.append(k)
+        counts.append(c)
     if not keys:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    if len(keys) == 1:
-        return keys[0], counts[0]
+    three, n = (keys[0], counts[0]) if len(keys) == 1 else added(keys, counts)
+    first = three >> 2 * _B == 0  # a word's first letter; else the n-gram of it and its left neighbour is counted there
+    two, n_two = added([three & np.uint64((1 << 42) - 1), three[first] >> _B], [n, n[first]])
+    one, n_one = added([three >> _B & np.uint64((1 << 21) - 1)], [n])
+    two |= np.uint64(((1 << 21) - 1) << 42)
+    one |= np.uint64(((1 << 42) - 1) << 21)
+    return np.concatenate([three, two, one]), np.concatenate([n, n_two, n_one])
+
+
+def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(each key once, sum of its counts)."""
     merged, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return merged, np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
+    return merged, np.bincount(place, weights=np.concatenate(counts), minlength=len(merged)).astype(np.int64)
 
 
 def top(keys: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
@@ -109,48 +104,41 @@ def top(keys: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n): a task's own sums of its texts' n-grams, handed on whenever there are more than _HELD of them."""
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def sums() -> pa.RecordBatch:
+        langs = [x for x, (keys, _) in held.items() for _ in range(len(keys))]
+        keys, counts = (np.concatenate([np.zeros(0, dtype=kind), *(x[i] for x in held.values())]) for i, kind in enumerate((np.uint64, np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
+
     for batch in batches:
-        for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-            keys, counts = ngram_counts(text.as_py() or "")
-            n = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * n, pa.string()), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
-
-
-def _sample(labelled: DataFrame, train_rows: int) -> tuple[dict[str, int], DataFrame]:
-    """(rows by language, the (lang, text) that teach)."""
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "doc_id", F.col("text").cast("string").alias("text"))
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
-        return {}, rows
-    # A hash under the wanted share (with room to spare) stands for the smallest hashes without a sort of all rows.
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        share = min(1.0, 2 * train_rows / n + 50 / n)
-        chosen |= (F.col("lang") == lang) & (order < F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
-    picked = rows.where(chosen).select("lang", "text", order.alias("order"))
-    few = picked.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list("order")), 1, train_rows).alias("orders"))
-    picked = picked.join(F.broadcast(few), "lang").where(F.array_contains("orders", F.col("order"))).select("lang", "text")
-    return sizes, picked
-
-
-def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
-    """labelled (doc_id, text, lang) -> each language's most frequent n-grams in rank order.
-
-    Of each language the train_rows rows of the smallest hash of doc_id are used (a bounded sample, and the only
-    bound); rows with null lang or text are left out. A profile has PROFILE entries, so the result is as small as the
-    number of languages.
+        texts: dict[str, list[str]] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            texts.setdefault(lang, []).append(text)
+        for lang, some in texts.items():
+            keys, counts = ngram_counts(" ".join(some))  # n-grams do not cross the space
+            old = held.get(lang)
+            held[lang] = (keys, counts) if old is None else added([old[0], keys], [old[1], counts])
+        if sum(len(keys) for keys, _ in held.values()) > _HELD:
+            yield sums()
+            held.clear()
+    yield sums()
+
+
+def fit(labelled: DataFrame) -> dict[str, np.ndarray]:
+    """labelled (doc_id, text, lang) -> each language's most frequent n-grams in rank order, counted over the whole of
+    all its texts; rows with null lang or text are left out. A profile has PROFILE entries, so the result is as small as
+    the number of languages.
     """
-    spark = bounded_batches(labelled).sparkSession
-    sizes, picked = _sample(labelled, train_rows)
-    if not sizes:
-        return {}
-    grams = picked.repartition(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(_train, "lang string, gram long, n long")
-    summed = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = bounded_batches(labelled).where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    summed = rows.mapInArrow(_train, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE).orderBy("lang", "rank").collect()  # PROFILE rows a language
-    out = {lang: np.array([r["gram"] for r in best if r["lang"] == lang], dtype=np.int64).view(np.uint64) for lang in sorted(sizes)}
-    return {k: v for k, v in out.items() if len(v)}
+    out: dict[str, list[int]] = {}
+    for r in best:
+        out.setdefault(r["lang"], []).append(r["gram"])
+    return {lang: np.array(grams, dtype=np.int64).view(np.uint64) for lang, grams in out.items()}
 
 
 class Profiles:
@@ -198,9 +186,11 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text
     return kept.mapInArrow(run, out)
 
 
-def least_scores(labelled: DataFrame, profiles: dict[str, np.ndarray], train_rows: int = TRAIN_ROWS) -> dict[str, float]:
-    """{language: score that its texts have at least}: MARGIN of the LOW quantile of the scores of the texts that fit
-    learned from and that are taken for the language. Junk among fewer than LOW of them does not lower it."""
-    picked = _sample(labelled, train_rows)[1].repartition(max(2, int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    judged = identify(picked, profiles).where(F.col("score") > 0).groupBy("lang_pred").agg(F.percentile_approx("score", LOW).alias("low"))
-    return {r["lang_pred"]: MARGIN * r["low"] for r in judged.collect()}
+def least_scores(judged: DataFrame, names: tuple[str, str] = ("lang_pred", "score")) -> dict[str, float]:
+    """{language: score that its texts have at least}: MARGIN of the exact LOW quantile of the scores, judged by
+    `identify` under `names`, of all texts that are taken for the language. Junk among fewer than LOW of them does not
+    lower it."""
+    lang, score = (F.col(f"`{x}`") for x in names)
+    counted = judged.where(score > 0).groupBy(lang.alias("lang"), score.alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    low = counted.groupBy("lang").agg(F.percentile("score", LOW, F.col("n")).alias("low"))  # a score is a ratio of two small numbers
+    return {r["lang"]: MARGIN * r["low"] for r in low.collect()}

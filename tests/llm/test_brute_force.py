@@ -264,3 +264,26 @@ def test_languages_by_definition(spark):
         best = min(sorted(far), key=far.get)
         want = (best, 1 - far[best] / (langid.PROFILE * len(own))) if own else ("und", 0.0)
         assert got[i][0] == want[0] and abs(got[i][1] - want[1]) < 1e-12, (text, got[i], want)
+
+
+def test_languages_learn_from_every_text(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    syllables = [a + b for a in "bcdfghjklmnprst" for b in "aeiou"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(1, 12))) + rng.choice(["", ".", " e\u0301", " x"]), "aa") for i in range(2400)]
+    rows += [(5000, "\u0301", "bb"), (5001, "zz", "bb"), (5002, None, "aa"), (5003, "qq " * 4000, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    monkeypatch.setattr(langid, "_HELD", 300)  # a task hands on its sums many times
+    profiles = langid.fit(frame)
+    want = plain_profile([t for _, t, lang in rows if t and lang == "aa"], langid.PROFILE)
+    packed = lambda g: int("".join(f"{ord(c):021b}" for c in g), 2) | (((1 << (63 - 21 * len(g))) - 1) << 21 * len(g) if len(g) < 3 else 0)
+    assert set(profiles) == {"aa", "bb"} and profiles["aa"].tolist() == [packed(g) for g in want]
+
+    seen = []
+    true = langid.least_scores
+    monkeypatch.setattr(langid, "least_scores", lambda *a, **b: seen.append(true(*a, **b)) or seen[-1])
+    corpus_pipeline.language_id(spark, frame, "").collect()
+    scores = [r["score"] for r in langid.identify(frame.where("lang IS NOT NULL"), profiles).where("lang_pred = 'aa'").collect()]
+    assert len(scores) == 2400 and abs(seen[0]["aa"] - langid.MARGIN * np.quantile(scores, langid.LOW)) < 1e-12
