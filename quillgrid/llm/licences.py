@@ -1,10 +1,11 @@
 """Licence scans with DataFrame operations only: a trained paragraph classifier, confirmed by templates.
 
 A paragraph without any licence-specific word has no evidence and is unknown; those words are learned: template words
-that no ordinary paragraph of the training contains. For the others a logistic regression over counts of word 1- and
-2-grams gives a family or none (class `unknown`). It is trained on the sentences of TEMPLATES and on ordinary paragraphs: fixed ones, and a bounded sample of the scanned
-corpus. The probability of being a licence text is calibrated on examples kept out of the training, and a prediction
-counts only if the paragraph shares enough word pairs with one of its family's templates.
+that ordinary paragraphs hardly use. For the others a logistic regression over counts of word 1- and
+2-grams gives a family or none (class `unknown`). It is trained on the sentences of TEMPLATES and on ordinary paragraphs:
+fixed ones, and all those of the scanned corpus. The probability of being a licence text is calibrated on examples kept
+out of the training, and a prediction counts only if the paragraph shares enough word pairs with one of its family's
+templates.
 """
 
 from __future__ import annotations
@@ -15,9 +16,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrid.llm.tables import release, stage
+
 UNKNOWN = "unknown"
-#: Documents of the corpus whose paragraphs are examples of the unknown class, and the most of those paragraphs.
-SAMPLE_DOCUMENTS, SAMPLE_ROWS = 200, 2000
+#: What all ordinary paragraphs of a corpus weigh together in the training at most, in examples: they outnumber the
+#: templates the more, the larger the corpus is, and each weighs less for it.
+CORPUS_WEIGHT = 2000.0
+#: Share of a corpus' ordinary paragraphs from which on a word they use is not specific to licences.
+USED = 0.0005
 #: Smallest share of a paragraph's word pairs that are found in a template of its family.
 SIMILARITY = 0.5
 #: Calibrated probability from which a paragraph counts.
@@ -125,7 +131,8 @@ def word_list(text: Column) -> Column:
 
 def pairs(words: Column) -> Column:
     """Runs of two words, joined by a space."""
-    return F.when(F.size(words) >= 2, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, i, 2), " "))).otherwise(F.array().cast("array<string>"))
+    rest = F.size(words) - 1
+    return F.when(rest > 0, F.zip_with(F.slice(words, 1, rest), F.slice(words, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
 
 
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -165,33 +172,36 @@ def _examples() -> list[tuple[str, str, int]]:
 
 
 class LicenceModel:
-    """The fitted classifier: vocabulary of the templates' n-grams, regression, licence-specific words, calibration."""
+    """The fitted classifier: vocabulary of the templates' n-grams, regression, licence-specific words, calibration; and
+    how many different ordinary paragraphs of a corpus it has learned from."""
 
-    def __init__(self, vector: CountVectorizerModel, regression: LogisticRegressionModel, families: list[str], telling: list[str]) -> None:
-        self.vector, self.regression, self.families, self.telling = vector, regression, families, telling
+    def __init__(self, vector: CountVectorizerModel, regression: LogisticRegressionModel, families: list[str], telling: list[str], learned: int = 0) -> None:
+        self.vector, self.regression, self.families, self.telling, self.learned = vector, regression, families, telling, learned
         self.calibration: LogisticRegressionModel | None = None
 
     def tells(self, words: Column) -> Column:
         """Whether any of the words is specific to licences."""
         return F.arrays_overlap(words, F.array(*[F.lit(w) for w in self.telling]))
 
-    def score(self, rows: DataFrame, telling_only: bool = True) -> DataFrame:
+    def score(self, rows: DataFrame) -> DataFrame:
         """rows with `body` -> with words, pairs, family (the best one that is not unknown) and raw (log odds); those
-        without a licence-specific word are left out unless telling_only is false."""
-        spoken = rows.withColumn("words", word_list(F.col("body")))
-        if telling_only:
-            spoken = spoken.where(self.tells(F.col("words")))
+        without a licence-specific word are left out."""
+        spoken = rows.withColumn("words", word_list(F.col("body"))).where(self.tells(F.col("words")))
         grams = spoken.withColumn("pairs", pairs(F.col("words"))).withColumn("grams", F.concat("words", "pairs"))
-        scored = self.regression.transform(self.vector.transform(grams)).withColumn("found", vector_to_array("probability"))
+        return self.rate(self.vector.transform(grams), *rows.columns, "words", "pairs")
+
+    def rate(self, counted: DataFrame, *keep: str) -> DataFrame:
+        """The columns `keep` of rows with `features`, family and raw."""
+        scored = self.regression.transform(counted).withColumn("found", vector_to_array("probability"))
         # Exploded, the probabilities are a generator's output: a later filter is not pushed below it, where it would
         # run the model once for every use of a probability.
-        scored = scored.select(*rows.columns, "words", "pairs", F.explode(F.array("found")).alias("chances"))
+        scored = scored.select(*keep, F.explode(F.array("found")).alias("chances"))
         chances, unknown = F.col("chances"), self.families.index(UNKNOWN)
         known = F.array(*[F.struct(chances[i].alias("p"), F.lit(f).alias("family")) for i, f in enumerate(self.families) if i != unknown])
         miss = F.greatest(chances[unknown], F.lit(1e-12))
         best = scored.withColumn("best", F.array_max(known))
         raw = F.log(F.greatest(F.col("best.p"), F.lit(1e-12)) / miss)
-        return best.select(*rows.columns, "words", "pairs", F.col("best.family").alias("family"), raw.alias("raw"))
+        return best.select(*keep, F.col("best.family").alias("family"), raw.alias("raw"))
 
     def chance(self, raw: Column) -> Column:
         """Calibrated probability that a paragraph is a licence text."""
@@ -199,42 +209,72 @@ class LicenceModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-(raw * a + b)))
 
 
-def fit(spark: SparkSession, corpus: DataFrame | None = None, sample_documents: int = SAMPLE_DOCUMENTS, sample_rows: int = SAMPLE_ROWS) -> LicenceModel:
-    """Train on the templates, ORDINARY and, if a corpus is given, paragraphs of its sample_documents documents of
-    smallest hash of doc_id (sample_rows of them at most, and none with a word of `licen[cs]e`, `copyright` or
-    `permission`, so that no notice is taught as unknown). That sample is the only bound."""
-    rows = spark.createDataFrame(_examples(), "body string, label_name string, fold int")
-    if corpus is not None:
-        ids = corpus.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(sample_documents)
-        few = corpus.select("doc_id", "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
-        plain = parts(paragraphs(few)).where(~F.lower("body").rlike("licen[cs]|copyright|permi(t|ss)|redistribut|warrant|public domain"))
-        # A paragraph that many documents share is one example; documents, not paragraphs, are dealt to the folds.
-        distinct = plain.groupBy("body").agg(F.min("doc_id").alias("doc_id"))
-        picked = distinct.select("body", F.xxhash64("body").alias("h"), "doc_id").orderBy("h", "body").limit(sample_rows)
-        fold = (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 2).cast("int")
-        rows = rows.unionByName(picked.select("body", F.lit(UNKNOWN).alias("label_name"), fold.alias("fold")))
+def _counted(rows: DataFrame, vector: CountVectorizerModel) -> DataFrame:
+    """rows with `body` -> with words, pairs and features, the counts of the vocabulary's n-grams."""
+    spoken = rows.withColumn("words", word_list(F.col("body"))).withColumn("pairs", pairs(F.col("words")))
+    return vector.transform(spoken.withColumn("grams", F.concat("words", "pairs"))).drop("grams")
+
+
+def ordinary(corpus: DataFrame, vector: CountVectorizerModel, known: list[list[int]]) -> DataFrame:
+    """(fold, features, n): counts of the n-grams in all ordinary paragraphs of the corpus, and how many different
+    paragraphs have them; known: the places of each template's pairs in the vocabulary.
+
+    Not ordinary, so that no notice is taught as unknown, are paragraphs with a word of `licen[cs]e`, `copyright`,
+    `permission` and the like, and those that `scan` would find similar enough to some template. A paragraph that many
+    documents share is one example; documents (the least of it), not paragraphs, are dealt to the folds.
+    """
+    plain = parts(paragraphs(corpus)).where(~F.lower("body").rlike("licen[cs]|copyright|permi(t|ss)|redistribut|warrant|public domain"))
+    counted = _counted(plain, vector).select("doc_id", F.xxhash64("body").alias("h"), "features", F.size(F.array_distinct("pairs")).alias("own"), F.unwrap_udt("features")["indices"].alias("at"))
+    least = min(at for k in known for at in k)  # pairs come behind the words
+    shared = F.filter("at", lambda i: i >= least)
+    templates = F.array(*[F.array(*[F.lit(i) for i in k]) for k in known])
+
+    def like(k: Column) -> Column:
+        both = F.size(F.array_intersect(shared, k))
+        return (both >= SIMILARITY * F.col("own")) | (both >= CONTAINED * F.size(k))
+
+    # Only what shares so many pairs with all templates together can do so with one.
+    near = F.when((F.size(shared) > 0) & ((F.size(shared) >= SIMILARITY * F.col("own")) | (F.size(shared) >= CONTAINED * min(map(len, known)))), F.exists(templates, like)).otherwise(F.lit(False))
+    distinct = counted.where(~near).groupBy("h", "features").agg(F.min("doc_id").alias("doc_id"))
+    fold = (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 2).cast("int")
+    return distinct.groupBy(fold.alias("fold"), "features").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fit(spark: SparkSession, corpus: DataFrame | None = None) -> LicenceModel:
+    """Train on the templates, ORDINARY and, if a corpus is given, all its ordinary paragraphs, which weigh CORPUS_WEIGHT
+    examples together at most. Words are specific to licences if ORDINARY has none of them and less than a share of USED of the
+    corpus' ordinary paragraphs."""
+    templates = spark.createDataFrame([(i, t) for i, t in enumerate(t for bodies in TEMPLATES.values() for t in bodies)], "template int, body string")
+    spoken = templates.withColumn("words", word_list(F.col("body"))).withColumn("pairs", F.array_distinct(pairs(F.col("words")))).orderBy("template").collect()  # as many as TEMPLATES
+    words = sorted({w for r in spoken for w in r["words"]})
+    vocabulary = words + sorted({p for r in spoken for p in r["pairs"]})
+    place = {gram: i for i, gram in enumerate(vocabulary)}
+    vector = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features")
     families = sorted([*TEMPLATES, UNKNOWN])
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("label_name")) - 1
-    spoken = rows.withColumn("words", word_list(F.col("body")))
-    ready = spoken.select("body", "fold", "words", label.cast("double").alias("label"), F.concat("words", pairs(F.col("words"))).alias("grams")).coalesce(1).cache()
+    fixed = _counted(spark.createDataFrame(_examples(), "body string, label_name string, fold int").coalesce(1), vector)
+    ready = fixed.select("fold", "features", label.cast("double").alias("label"), F.lit(1.0).alias("weight"))
+    used = {r["word"] for r in fixed.where(F.col("label_name") == UNKNOWN).select(F.explode("words").alias("word")).distinct().collect()}  # of ORDINARY
+    learned, counts = 0, None
+    if corpus is not None:
+        counts = stage(ordinary(corpus, vector, [[place[p] for p in r["pairs"]] for r in spoken]), "licences-ordinary")
+        learned = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        met = counts.select(F.explode(F.unwrap_udt("features")["indices"]).alias("at"), "n").where(F.col("at") < len(words)).groupBy("at").agg(F.sum("n").alias("n"))
+        used |= {words[r["at"]] for r in met.where(F.col("n") >= USED * learned).collect()}  # no more than the vocabulary
+        share = min(1.0, CORPUS_WEIGHT / max(learned, 1))
+        ready = ready.unionByName(counts.select("fold", "features", F.lit(float(families.index(UNKNOWN))).alias("label"), (F.col("n") * share).alias("weight")))
     try:
-        templates = spark.createDataFrame([(t,) for bodies in TEMPLATES.values() for t in bodies], "body string").withColumn("words", word_list(F.col("body")))
-        vocabulary = sorted(r[0] for r in templates.select(F.explode(F.concat("words", pairs(F.col("words"))))).distinct().collect())
-        vector = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features")
-        counted = vector.transform(ready)
-        learner = LogisticRegression(family="multinomial", regParam=0.002, maxIter=40)
-        regression = learner.fit(counted.where("fold = 0"))
-        ordinary = ready.where(F.col("label") == families.index(UNKNOWN)).select(F.explode("words").alias("word")).distinct()
-        used = {r["word"] for r in ordinary.where(F.col("word").isin(vocabulary)).collect()}  # no more than the vocabulary
-        telling = [w for w in vocabulary if " " not in w and not w.isdigit() and w not in used]
-        model = LicenceModel(vector, regression, families, telling)
-        held = model.score(ready.where("fold = 1").select("body", "label"), telling_only=False)
+        learner = LogisticRegression(family="multinomial", regParam=0.002, maxIter=40, weightCol="weight")
+        telling = [w for w in words if not w.isdigit() and w not in used]
+        model = LicenceModel(vector, learner.fit(ready.where("fold = 0")), families, telling, learned)
+        held = model.rate(ready.where("fold = 1"), "label", "weight")
         truth = (F.col("label") != families.index(UNKNOWN)).cast("double")
-        one = VectorAssembler(inputCols=["raw"], outputCol="features").transform(held.select(truth.alias("label"), "raw"))
-        model.calibration = LogisticRegression(regParam=0.01, maxIter=40).fit(one)
-        model.regression = learner.fit(counted)  # the calibrated odds hold for the model of all examples as well
+        one = VectorAssembler(inputCols=["raw"], outputCol="features").transform(held.select(truth.alias("label"), "raw", "weight"))
+        model.calibration = LogisticRegression(regParam=0.01, maxIter=40, weightCol="weight").fit(one)
+        model.regression = learner.fit(ready)  # the calibrated odds hold for the model of all examples as well
     finally:
-        ready.unpersist()
+        if counts is not None:
+            release(counts)
     return model
 
 

@@ -325,6 +325,21 @@ def test_licences(spark):
     assert {(r["doc_id"], r["family"]) for r in licences.scan(frame, free).collect()} == {(r["doc_id"], r["family"]) for r in rows}
 
 
+def test_licences_learn_from_every_paragraph(spark):
+    plain = [[f"Zor{i} fel{k} about the water and ran{i * 7 + k}" for k in range(5)] for i in range(700)]
+    notice = "Released under CC0 1.0 Universal."  # no word that keeps a line out of the training by itself
+    for i in (3, 300, 600):
+        plain[i][0] += " by the library"
+    plain[650][1] += " of mozilla"
+    texts = [(i, "\n".join([*lines, "Home and about us", *([notice] if i % 7 == 0 else [])])) for i, lines in enumerate(plain)]
+    frame = docs(spark, [*texts, (None, "Nowhere but here"), (None, None)])
+    model = licences.fit(spark, frame)
+    assert model.learned == 5 * 700 + 2  # the shared line is one, and no notice is among them
+    assert {"cc0", "mozilla"} < set(model.telling) and "library" not in model.telling  # in 3 of 3,502, one of which is too few
+    got = {(r["doc_id"], r["paragraph"], r["family"]) for r in licences.scan(frame, model).collect()}
+    assert got == {(i, 6, "CC0") for i in range(0, 700, 7)}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=a>One</a></li></ul></nav>
 <div id="content"><h1>Head&amp;line</h1><p>Long text of the  article that goes on&nbsp;and on for a while, and then <b>more</b>.<br>Next<p>Ok.</p><div class="ad">Buy it now</div><p>Another long paragraph of
 the article follows here with many words in it.</div><aside>Popular things with quite long texts that might be content but are not.</aside>
