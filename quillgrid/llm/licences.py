@@ -209,10 +209,15 @@ class LicenceModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-(raw * a + b)))
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with the column `name`, computed once a row: as a generator's output it is not inlined where it is used."""
+    return rows.select(*[c for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def _counted(rows: DataFrame, vector: CountVectorizerModel) -> DataFrame:
     """rows with `body` -> with words, pairs and features, the counts of the vocabulary's n-grams."""
-    spoken = rows.withColumn("words", word_list(F.col("body"))).withColumn("pairs", pairs(F.col("words")))
-    return vector.transform(spoken.withColumn("grams", F.concat("words", "pairs"))).drop("grams")
+    spoken = _once(_once(rows, "words", word_list(F.col("body"))), "pairs", pairs(F.col("words")))
+    return _once(vector.transform(spoken.withColumn("grams", F.concat("words", "pairs"))).drop("grams"), "features", F.col("features"))
 
 
 def ordinary(corpus: DataFrame, vector: CountVectorizerModel, known: list[list[int]]) -> DataFrame:
@@ -226,15 +231,16 @@ def ordinary(corpus: DataFrame, vector: CountVectorizerModel, known: list[list[i
     plain = parts(paragraphs(corpus)).where(~F.lower("body").rlike("licen[cs]|copyright|permi(t|ss)|redistribut|warrant|public domain"))
     counted = _counted(plain, vector).select("doc_id", F.xxhash64("body").alias("h"), "features", F.size(F.array_distinct("pairs")).alias("own"), F.unwrap_udt("features")["indices"].alias("at"))
     least = min(at for k in known for at in k)  # pairs come behind the words
-    shared = F.filter("at", lambda i: i >= least)
+    counted = _once(counted, "of", F.struct("own", F.filter("at", lambda i: i >= least).alias("shared")))
+    own, shared = F.col("of.own"), F.col("of.shared")
     templates = F.array(*[F.array(*[F.lit(i) for i in k]) for k in known])
 
     def like(k: Column) -> Column:
         both = F.size(F.array_intersect(shared, k))
-        return (both >= SIMILARITY * F.col("own")) | (both >= CONTAINED * F.size(k))
+        return (both >= SIMILARITY * own) | (both >= CONTAINED * F.size(k))
 
     # Only what shares so many pairs with all templates together can do so with one.
-    near = F.when((F.size(shared) > 0) & ((F.size(shared) >= SIMILARITY * F.col("own")) | (F.size(shared) >= CONTAINED * min(map(len, known)))), F.exists(templates, like)).otherwise(F.lit(False))
+    near = F.when((F.size(shared) > 0) & ((F.size(shared) >= SIMILARITY * own) | (F.size(shared) >= CONTAINED * min(map(len, known)))), F.exists(templates, like)).otherwise(F.lit(False))
     distinct = counted.where(~near).groupBy("h", "features").agg(F.min("doc_id").alias("doc_id"))
     fold = (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 2).cast("int")
     return distinct.groupBy(fold.alias("fold"), "features").agg(F.count(F.lit(1)).alias("n"))
