@@ -10,6 +10,9 @@ templates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -123,10 +126,17 @@ ORDINARY = [
 ]
 
 
+#: What holds one of these, lower-cased, is not learned as ordinary.
+BARRED = ("licenc", "licens", "copyright", "permit", "permiss", "redistribut", "warrant", "public domain")
+
+
 def word_list(text: Column) -> Column:
     """Lower-cased runs of letters and digits (with inner hyphens), in order."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\-]+", " ")
-    return F.array_remove(F.split(plain, " "), "")
+    return _words(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def _words(low: Column) -> Column:
+    return F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}\-]+"), F.lit(0))
 
 
 def pairs(words: Column) -> Column:
@@ -145,13 +155,26 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
 def parts(lines: DataFrame) -> DataFrame:
     """lines with `part` and the part's `body`: lines of at most LONG words whole, of longer ones the sentences and of
     longer sentences windows of LONG words. Parts are numbered by sentence."""
-    # Only a line with that many spaces can be long; the others stay whole.
-    sentences = F.when(F.size(F.split("body", r"\s+")) > LONG, F.split("body", r"(?<=[.!?])\s+")).otherwise(F.array("body"))
+    sentences = F.when(_long(F.col("body")), F.split("body", r"\s(?<=[.!?]\s)\s*")).otherwise(F.array("body"))
     rest = [c for c in lines.columns if c != "body"]
     cut = lines.select(*rest, F.posexplode(sentences).alias("part", "sentence"))
-    spoken, step = F.split("sentence", r"\s+"), LONG // 2
-    windows = F.transform(F.sequence(F.lit(0), F.ceil((F.size(spoken) - LONG) / step).cast("int")), lambda i: F.array_join(F.slice(spoken, i * step + 1, LONG), " "))
-    return cut.select(*rest, "part", F.explode(F.when(F.size(spoken) > LONG, windows).otherwise(F.array("sentence"))).alias("body"))
+    step = LONG // 2
+
+    def windows(spoken: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.ceil((F.size(spoken) - LONG) / step).cast("int")), lambda i: F.array_join(F.slice(spoken, i * step + 1, LONG), " "))
+
+    bodies = F.when(_long(F.col("sentence")), _let(F.split("sentence", r"\s+"), windows)).otherwise(F.array("sentence"))
+    return cut.select(*rest, "part", F.explode(bodies).alias("body"))
+
+
+def _long(text: Column) -> Column:
+    """Whether white space cuts a text into more than LONG words; nothing behind those is read."""
+    return (F.length(text) >= 2 * LONG - 1) & text.rlike(rf"^\S*+(?:\s++\S*+){{{LONG}}}")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _examples() -> list[tuple[str, str, int]]:
@@ -220,30 +243,46 @@ def _counted(rows: DataFrame, vector: CountVectorizerModel) -> DataFrame:
     return _once(vector.transform(spoken.withColumn("grams", F.concat("words", "pairs"))).drop("grams"), "features", F.col("features"))
 
 
-def ordinary(corpus: DataFrame, vector: CountVectorizerModel, known: list[list[int]]) -> DataFrame:
+def ordinary(corpus: DataFrame, vector: CountVectorizerModel, known: list[list[str]]) -> DataFrame:
     """(fold, features, n): counts of the n-grams in all ordinary paragraphs of the corpus, and how many different
-    paragraphs have them; known: the places of each template's pairs in the vocabulary.
+    paragraphs have them; known: the different word pairs of each template.
 
     Not ordinary, so that no notice is taught as unknown, are paragraphs with a word of `licen[cs]e`, `copyright`,
-    `permission` and the like, and those that `scan` would find similar enough to some template. A paragraph that many
-    documents share is one example; documents (the least of it), not paragraphs, are dealt to the folds.
-    """
-    plain = parts(paragraphs(corpus)).where(~F.lower("body").rlike("licen[cs]|copyright|permi(t|ss)|redistribut|warrant|public domain"))
-    counted = _counted(plain, vector).select("doc_id", F.xxhash64("body").alias("h"), "features", F.size(F.array_distinct("pairs")).alias("own"), F.unwrap_udt("features")["indices"].alias("at"))
-    least = min(at for k in known for at in k)  # pairs come behind the words
-    counted = _once(counted, "of", F.struct("own", F.filter("at", lambda i: i >= least).alias("shared")))
-    own, shared = F.col("of.own"), F.col("of.shared")
-    templates = F.array(*[F.array(*[F.lit(i) for i in k]) for k in known])
+    `permission` and the like (BARRED), and those that `scan` would find similar enough to some template. A paragraph that
+    many documents share is one example; documents (the least of it), not paragraphs, are dealt to the folds.
 
-    def like(k: Column) -> Column:
-        both = F.size(F.array_intersect(shared, k))
-        return (both >= SIMILARITY * own) | (both >= CONTAINED * F.size(k))
-
-    # Only what shares so many pairs with all templates together can do so with one.
-    near = F.when((F.size(shared) > 0) & ((F.size(shared) >= SIMILARITY * own) | (F.size(shared) >= CONTAINED * min(map(len, known)))), F.exists(templates, like)).otherwise(F.lit(False))
-    distinct = counted.where(~near).groupBy("h", "features").agg(F.min("doc_id").alias("doc_id"))
+    A paragraph's counts follow from its gist: its words in the vocabulary, with a gap wherever others stand between. They
+    are taken once for all paragraphs of one gist.
+    """
+    single, double = [g for g in vector.vocabulary if " " not in g], [g for g in vector.vocabulary if " " in g]
+    templates = F.array(*[F.array(*[F.lit(p) for p in k]) for k in known])
+    # Templates of which too many pairs are barred are contained in none of these paragraphs.
+    least = min(len(k) for k in known if sum(not any(b in p for b in BARRED if " " not in b) for p in k) >= CONTAINED * len(k))
+
+    def near(shared: Column) -> Column:
+        n = F.size(shared)
+        # No fewer pairs are different than words, less one: only few paragraphs need theirs formed.
+        alike = (n > 0) & (n >= SIMILARITY * (F.size(F.array_distinct("words")) - 1))
+        own = F.when(alike, F.size(F.array_distinct(pairs(F.col("words"))))).otherwise(F.lit(2**31 - 1))
+        # Only what shares so many pairs with all templates together can do so with one.
+        return _let(own, lambda o: ((n >= SIMILARITY * o) | (n >= CONTAINED * least)) & F.exists(templates, lambda k: like(F.size(F.array_intersect(shared, k)), o, F.size(k))))
+
+    def like(both: Column, own: Column, size: Column) -> Column:
+        return (both >= SIMILARITY * own) | (both >= CONTAINED * size)
+
+    low = F.col("low")
+    plain = _once(parts(paragraphs(corpus)).select("doc_id", "body"), "low", F.lower("body")).where(~reduce(Column.__or__, [low.contains(b) for b in BARRED]))
+    spoken = _once(plain.select("doc_id", F.xxhash64("body").alias("h"), "low"), "words", _words(low)).drop("low")
+    marked = F.array_join(F.transform("words", lambda w: F.when(w.isin(single), w).otherwise(F.lit(""))), " ")
+    met = _once(spoken, "gist", F.trim(F.regexp_replace(marked, " {3,}", "  ")))
+    shared = F.array_distinct(F.filter(pairs(F.split("gist", " ")), lambda p: p.isin(double)))
+    others = met.where(~F.when(F.col("gist").rlike(r"\S \S"), _let(shared, near)).otherwise(F.lit(False)))
+    distinct = others.groupBy("h", "gist").agg(F.min("doc_id").alias("doc_id"))
     fold = (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 2).cast("int")
-    return distinct.groupBy(fold.alias("fold"), "features").agg(F.count(F.lit(1)).alias("n"))
+    told = distinct.groupBy(fold.alias("fold"), "gist").agg(F.count(F.lit(1)).alias("n"))
+    grams = _once(told, "told", F.split("gist", " ")).select("fold", "n", F.concat("told", pairs(F.col("told"))).alias("grams"))
+    counted = _once(vector.transform(grams), "features", F.col("features"))
+    return counted.groupBy("fold", "features").agg(F.sum("n").alias("n"))
 
 
 def fit(spark: SparkSession, corpus: DataFrame | None = None) -> LicenceModel:
@@ -254,7 +293,6 @@ def fit(spark: SparkSession, corpus: DataFrame | None = None) -> LicenceModel:
     spoken = templates.withColumn("words", word_list(F.col("body"))).withColumn("pairs", F.array_distinct(pairs(F.col("words")))).orderBy("template").collect()  # as many as TEMPLATES
     words = sorted({w for r in spoken for w in r["words"]})
     vocabulary = words + sorted({p for r in spoken for p in r["pairs"]})
-    place = {gram: i for i, gram in enumerate(vocabulary)}
     vector = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features")
     families = sorted([*TEMPLATES, UNKNOWN])
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("label_name")) - 1
@@ -263,7 +301,7 @@ def fit(spark: SparkSession, corpus: DataFrame | None = None) -> LicenceModel:
     used = {r["word"] for r in fixed.where(F.col("label_name") == UNKNOWN).select(F.explode("words").alias("word")).distinct().collect()}  # of ORDINARY
     learned, counts = 0, None
     if corpus is not None:
-        counts = stage(ordinary(corpus, vector, [[place[p] for p in r["pairs"]] for r in spoken]), "licences-ordinary")
+        counts = stage(ordinary(corpus, vector, [r["pairs"] for r in spoken]), "licences-ordinary")
         learned = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         met = counts.select(F.explode(F.unwrap_udt("features")["indices"]).alias("at"), "n").where(F.col("at") < len(words)).groupBy("at").agg(F.sum("n").alias("n"))
         used |= {words[r["at"]] for r in met.where(F.col("n") >= USED * learned).collect()}  # no more than the vocabulary

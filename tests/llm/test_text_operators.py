@@ -340,6 +340,31 @@ def test_licences_learn_from_every_paragraph(spark):
     assert got == {(i, 6, "CC0") for i in range(0, 700, 7)}
 
 
+def test_licences_count_different_paragraphs_once(spark):
+    """The n-grams of all paragraphs of one gist are counted once, behind the grouping, and as a plain count has them."""
+    shared = [f"{prose(k, 9)} of the water, and of the use of it." for k in range(6)] + ["Of the", "  the\tof \x0b the ", "Éa 1 of-the THE İ of the", "of the license", "Released under CC0 1.0 Universal."]
+    texts = [(i, "\n".join([*shared[i % 3 :], prose(i, 60 + i), f"only {i} of the rest"])) for i in range(40)]
+    vocabulary = ["0", "1", "cc0", "of", "released", "the", "under", "universal", "use", "0 universal", "1 0", "cc0 1", "of the", "released under", "the use", "under cc0"]
+    vector = licences.CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features")
+    known = [["released under", "under cc0", "cc0 1", "1 0", "0 universal"]]
+    counts = licences.ordinary(docs(spark, texts), vector, known)
+    got = {tuple(float(x) for x in r["features"].toArray()): 0 for r in counts.collect()}
+    for r in counts.collect():
+        got[tuple(float(x) for x in r["features"].toArray())] += r["n"]
+    bodies = {r["body"] for r in licences.parts(licences.paragraphs(docs(spark, texts))).collect()}
+    want = {}
+    for body in bodies:
+        if "licens" in body or body.startswith("Released"):
+            continue
+        words = re.findall(r"[^\W_-]+(?:[^\W_]|-)*|-(?:[^\W_]|-)*", body.lower())
+        key = tuple(float((words + [f"{a} {b}" for a, b in zip(words, words[1:])]).count(g)) for g in vocabulary)
+        want[key] = want.get(key, 0) + 1
+    assert got == want
+    plan = counts._jdf.queryExecution().optimizedPlan().toString().split("\n")  # from the last step to the first
+    steps = [next((s for s in ("UDF(", "Aggregate", "posexplode") if s in line), None) for line in plan]
+    assert steps.index("UDF(") < len(steps) - 1 - steps[::-1].index("Aggregate") and "Aggregate" in steps[steps.index("UDF(") : steps.index("posexplode")]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=a>One</a></li></ul></nav>
 <div id="content"><h1>Head&amp;line</h1><p>Long text of the  article that goes on&nbsp;and on for a while, and then <b>more</b>.<br>Next<p>Ok.</p><div class="ad">Buy it now</div><p>Another long paragraph of
 the article follows here with many words in it.</div><aside>Popular things with quite long texts that might be content but are not.</aside>
