@@ -37,8 +37,16 @@ def is_date(code: str) -> bool:
     return plain.lower() != "general" and bool(re.search(r"[ymdhs]", plain, re.IGNORECASE)) and "E+" not in plain
 
 
-def _fixed(x: Column, places: int, commas: bool) -> Column:
-    shown = F.format_number(half_away(x, F.lit(float(places))), places)
+def _fixed(x: Column, places: int, commas: bool, shift: int = 0) -> Column:
+    """x times 10^shift (of %, and of commas that scale) to that many places, half away from zero. One factor moves the point
+    and the last place together: 725 / 10000 as 0.0% is rounded from 72.5, where 725 / 10000 * 100 * 10 is just under it."""
+    power = shift + places
+    if shift and places < 15:
+        moved = x * 10.0**power if power >= 0 else x / 10.0**-power
+        rounded = half_away(moved, F.lit(0.0)) / 10.0**places
+    else:
+        rounded = half_away(x * 10.0**shift if shift else x, F.lit(float(places)))
+    shown = F.format_number(rounded, places)
     return shown if commas else F.replace(shown, F.lit(","), F.lit(""))
 
 
@@ -48,24 +56,24 @@ def _number(x: Column, code: str) -> Column:
     literal = lambda t: F.lit(t[1:-1] if t[0] == '"' else t[1:] if t[0] == "\\" else " " if t[0] == "_" else t)
     body = next((t for t in tokens if re.fullmatch(r"[0#?.,]+", t) and re.search(r"[0#?]", t)), None)
     exponent = next((t for t in tokens if re.match(r"E[+-]0+", t)), None)
-    scale = 100.0 ** tokens.count("%")
+    shift = 2 * tokens.count("%")
     out: list[Column] = []
     if body:
         trimmed = body.rstrip(",")
-        scale /= 1000.0 ** (len(body) - len(trimmed))
+        shift -= 3 * (len(body) - len(trimmed))
         whole, _, part = trimmed.partition(".")
         least, places = part.count("0"), len(part)
         digits = whole.count("0")
     for t in tokens:
         if t == body:
-            y = x * scale
             if exponent:
+                y = x * 10.0**shift
                 power = F.when(y == 0, 0.0).otherwise(F.floor(F.log10(F.when(y == 0, 1.0).otherwise(F.abs(y)))))
                 shown = _fixed(y / F.pow(F.lit(10.0), power), places, False)
                 sign = F.when(power < 0, "-").otherwise("+" if exponent[1] == "+" else "")
                 shown = F.concat(shown, F.lit("E"), sign, F.lpad(F.abs(power).cast("int").cast("string"), len(exponent) - 2, "0"))
             else:
-                shown = _fixed(y, places, "," in whole)
+                shown = _fixed(x, places, "," in whole, shift)
                 if least < places:  # optional digits at the end
                     shown = F.regexp_replace(shown, rf"(\.\d{{{least}}}\d*?)0+$", "$1")
                     shown = F.regexp_replace(shown, r"\.$", "") if least == 0 else shown
