@@ -25,9 +25,10 @@ def ABS(x) -> Cell:
 
 
 def half_away(x: Column, digits: Column) -> Column:
-    """Rounds half away from zero as floor(|x| * 10^d + 0.5) / 10^d; 15 digits and more leave x alone."""
+    """Rounds half away from zero as floor(|x| * 10^d + 0.5) / 10^d; 15 digits and more leave x alone, and so does a product
+    beyond a long, which has no fraction."""
     f = _scale(F.floor(digits))
-    return F.when(digits >= 15, x).otherwise(F.signum(x) * F.floor(F.abs(x) * f + 0.5) / f)
+    return F.when((digits >= 15) | (F.abs(x) * f >= float(2**63)), x).otherwise(F.signum(x) * F.floor(F.abs(x) * f + 0.5) / f)
 
 
 def ROUND(x, digits=0) -> Cell:

@@ -207,8 +207,9 @@ def FIXED(x, digits=2, no_commas=False) -> Cell:
 
 
 def DOLLAR(x, digits=2) -> Cell:
+    """As FIXED, with a dollar sign; a negative zero has no sign."""
     a, d = to_number(x), to_number(digits)
-    return made("text", F.concat(F.lit("$"), _fixed(a.value, d.value, F.lit(True))), a, d, bad=[(d.value > 10, VALUE)])
+    return made("text", F.concat(F.lit("$"), _fixed(a.value + F.lit(0.0), d.value, F.lit(True))), a, d, bad=[(d.value > 10, VALUE)])
 
 
 def NUMBERVALUE(x, decimal=".", group=",") -> Cell:

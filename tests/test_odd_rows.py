@@ -32,3 +32,8 @@ def test_percents_round_once(spark, tmp_path):
     x = F.lit(725.0) / 10000
     row = spark.range(1).select(numfmt.format_number(x, "0.0%"), numfmt.format_number(F.lit(1_250_000.0), "0.0,,"), numfmt.format_number(F.lit(-0.0), "0.00;(0.00)")).first()
     assert tuple(row) == ("7.3%", "1.3", "0.00")
+
+
+def test_dollars_of_zero_and_of_large_amounts(spark, tmp_path):
+    got, want = both(spark, tmp_path, "text_number", "customer", customers([-0.0, 0.0, -0.01, -0.05, 0.05, 1e15, 1e17, 1e19, -1e18, 1234.56]))
+    assert got == want
